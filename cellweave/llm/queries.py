@@ -15,11 +15,42 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.language import learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, learn(docs))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+#: All pairs that share a shingle, counted; components by a recursive query.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+z AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT z.y, r.root FROM r JOIN z ON z.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.tokenfile import read_token_files, write_token_files
 
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_token_files": op7_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op7_token_files": op7_token_files}
+ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL}
