@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.components import connected_components
-from cellweave.llm.shingles import batches_of, mix, shingle_sets
+from cellweave.llm.shingles import runs_of, mix, shingle_sets
 from cellweave.storage import materialise
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), [t.as_py() or b"" for t in batch.column(1)]
-            for lo, hi in batches_of(texts):
+            for lo, hi in runs_of([len(t) for t in texts]):
                 keys, offsets = shingle_sets(texts[lo:hi], shingle)
                 size = np.diff(offsets)
                 full = np.flatnonzero(size)

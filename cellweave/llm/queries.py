@@ -52,5 +52,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op7_token_files": op7_token_files}
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.spotsigs import neighbour_fingerprints
+
+    return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs}
 ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL}

@@ -89,13 +89,13 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return keys, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def batches_of(texts: list[bytes | None], most: int = 4 << 20):
-    """(begin, end) of runs of ``texts`` of about ``most`` bytes each."""
+def runs_of(sizes: list[int], most: int = 4 << 20):
+    """(begin, end) of runs of items of about ``most`` bytes together."""
     begin, total = 0, 0
-    for k, t in enumerate(texts):
-        if k > begin and total + len(t or b"") > most:
+    for k, n in enumerate(sizes):
+        if k > begin and total + n > most:
             yield begin, k
             begin, total = k, 0
-        total += len(t or b"")
-    if begin < len(texts):
-        yield begin, len(texts)
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
