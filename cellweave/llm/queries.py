@@ -46,6 +46,26 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of sound vectors.
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, component_id = vec_id AS kept
+FROM c LEFT JOIN n ON n.x = c.vec_id
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.tokenfile import read_token_files, write_token_files
 
@@ -58,5 +78,5 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs}
-ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL}
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs}
+ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_embeddings": OP6_SQL}
