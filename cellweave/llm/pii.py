@@ -1,0 +1,199 @@
+"""Personal data by weak supervision, in DataFrame functions only.
+
+Base spans are the leftmost non-overlapping matches of four fixed patterns that pass their checks.
+Further candidates come from looser patterns (national phone numbers, spelled-out addresses, social
+security numbers, card numbers that fail the checksum). Five labelers vote on every candidate: a
+strict regex, a gazetteer, supporting context, opposing context, and the candidate's shape. Votes
+are counted by pattern (a bounded number of rows, whatever the corpus); expectation-maximisation on
+those counts estimates each labeler's reliability, and its posteriors train a logistic classifier
+over kind and votes, which decides on the further candidates. Base spans always stay.
+
+Positions are code points. Null and empty texts have no spans; repeated rows repeat; an empty table
+gives no rows; extra columns are ignored. Each text is scanned whole: the patterns are possessive or
+guarded by a look-behind, so that a text without a match is read once.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cellweave.storage import materialise
+
+#: Kinds in the order in which they are listed; the first four are the base.
+KINDS = ("email", "ip", "card", "phone", "ssn")
+BASE = 4
+
+# The base patterns. The look-behinds only skip starts at which a match would have begun earlier.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+# The further candidates.
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"
+NATIONAL = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[068]|6)"
+FOR = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel)\b",
+    "ip": r"(?i)\b(?:ip|host|server|address|client|from)\b",
+    "card": r"(?i)\b(?:card|visa|credit|pay|tarjeta|carte|karte)\b",
+    "phone": r"(?i)\b(?:tel|phone|call|mobile|fax|cell|telefon|teléfono)\b",
+    "ssn": r"(?i)\b(?:ssn|social|security)\b",
+}
+AGAINST = r"(?i)(?:\b(?:version|ver|release|isbn|issn|order|invoice|part|serial|ref|section|page)\b[^A-Za-z]*|\bv)$"
+CONTEXT = 32
+
+_SPAN = "struct<m:string,s:int,e:int,c:string>"
+
+
+def _matches(text: str, pattern: str, gate: str) -> str:
+    """SQL: matches of a pattern with their positions and what stands before them, by one split and one extraction."""
+    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    walk = (
+        f"aggregate(zip_with(split({text}, '{p}', -1), regexp_extract_all({text}, '{p}', 0), (g, m) -> named_struct('g', length(g), 'c', right(g, {CONTEXT}), 'm', m)), "
+        f"named_struct('p', 0, 'a', cast(array() as array<{_SPAN}>)), "
+        "(acc, x) -> named_struct('p', acc.p + x.g + coalesce(length(x.m), 0), 'a', if(x.m is null, acc.a, concat(acc.a, array(named_struct('m', x.m, 's', acc.p + x.g, 'e', acc.p + x.g + length(x.m), 'c', x.c))))), acc -> acc.a)"
+    )
+    return f"if({gate}, {walk}, cast(array() as array<{_SPAN}>))"
+
+
+def _digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
+
+
+def _luhn(m: str) -> str:
+    d = f"reverse({_digits(m)})"
+    return f"aggregate(transform(split({d}, ''), (q, k) -> if(k % 2 = 0, int(q), int(q) * 2 - if(int(q) > 4, 9, 0))), 0, (z, q) -> z + coalesce(q, 0)) % 10 = 0"
+
+
+def _r(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``body`` (the text or '') and ``cands``: all candidates with kind, base flag and the code of their votes."""
+    body = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    numbers = "body rlike '[0-9][^A-Za-z]{5,}[0-9]'"
+    raw = body.select(
+        *keep, "body",
+        F.expr(_matches("body", EMAIL, "instr(body, '@') > 0")).alias("m_email"),
+        F.expr(_matches("body", IP, r"body rlike '[0-9]\\.[0-9]'")).alias("m_ip"),
+        F.expr(_matches("body", CARD, f"body rlike {_r(CARD)}")).alias("m_card"),
+        F.expr(_matches("body", PHONE, "instr(body, '+') > 0")).alias("m_phone"),
+        F.expr(_matches("body", SPELLED, r"body rlike '\\[at\\]|\\(at\\)'")).alias("m_spelled"),
+        F.expr(_matches("body", NATIONAL, numbers)).alias("m_national"),
+        F.expr(_matches("body", SSN, r"body rlike '[0-9]-[0-9]{2}-[0-9]'")).alias("m_ssn"),
+    )
+
+    def judged(column: str, kind: str, strict: str, gazetteer: str, base: str) -> str:
+        """Candidates of one column: the votes are -1, 0 or 1, written as one code."""
+        same = "x.m rlike '^[^0-9]*([0-9])([^0-9]*\\\\1){6,}'"
+        votes = [strict, gazetteer, f"if(x.c rlike {_r(FOR[kind])}, 1, 0)", f"if(x.c rlike {_r(AGAINST)}, -1, 0)", f"if({same}, -1, 1)" if kind != "email" else "0"]
+        code = " || ".join(f"cast({v} + 1 as string)" for v in votes)
+        return f"transform({column}, x -> named_struct('s', x.s, 'k', {KINDS.index(kind)}, 'e', x.e, 'base', {base}, 'code', '{column[2:]}:' || {code}))"
+
+    n = f"length({_digits('x.m')})"
+    parts = f"x.m rlike {_r('^' + PART + '(?:[.]' + PART + '){3}$')}"
+    luhn = f"({n} between 14 and 19 and {_luhn('x.m')})"
+    every = [
+        judged("m_email", "email", "1", f"if(x.m rlike {_r(DOMAINS)}, 1, 0)", "true"),
+        judged("m_ip", "ip", f"if({parts}, 1, -1)", "if(x.m rlike '^(0|255)[.]', -1, 0)", f"({parts})"),
+        judged("m_card", "card", f"if({luhn}, 1, -1)", f"if(x.m rlike {_r(ISSUERS)} and {n} <= 19, 1, -1)", luhn),
+        judged("m_phone", "phone", f"if({n} between 10 and 15, 1, -1)", f"if(x.m rlike {_r('^[+](?:1|[2-9][0-9])')}, 1, -1)", f"({n} between 10 and 15)"),
+        judged("m_spelled", "email", "0", f"if(x.m rlike {_r(DOMAINS.replace('$', ''))}, 1, -1)", "false"),
+        judged("m_national", "phone", "if(x.m rlike '^[(]?[2-9]', 1, -1)", "if(x.m rlike '^[(]', 1, 0)", "false"),
+        judged("m_ssn", "ssn", "if(x.m rlike '^(000|666|9)', -1, 1)", "0", "false"),
+    ]
+    found = raw.select(*keep, "body", F.expr(f"concat({', '.join(every)})").alias("all"))
+    # A further candidate must not overlap a base span.
+    return found.select(*keep, "body", F.expr("filter(all, x -> x.base or not exists(all, y -> y.base and y.s < x.e and x.s < y.e))").alias("cands"))
+
+
+def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
+    """Posterior of every vote pattern, by expectation-maximisation over labelers' reliabilities."""
+    split = {code: (code.split(":")[0], [int(v) for v in code.split(":")[1]]) for code in counts}
+    post = {code: 1 / (1 + math.exp(-1.5 * sum(v - 1 for v in votes))) for code, (_, votes) in split.items()}
+    for _ in range(rounds):
+        # Reliabilities are shared by all kinds, priors are not; both are smoothed.
+        prior: dict[str, list[float]] = {}
+        seen = [[[0.5] * 3 for _ in range(2)] for _ in range(5)]
+        for code, (kind, votes) in split.items():
+            p, n = post[code], counts[code]
+            got = prior.setdefault(kind, [1.0, 1.0])
+            got[0] += n * (1 - p)
+            got[1] += n * p
+            for j, v in enumerate(votes):
+                seen[j][0][v] += n * (1 - p)
+                seen[j][1][v] += n * p
+        for code, (kind, votes) in split.items():
+            odds = math.log(prior[kind][1] / prior[kind][0])
+            for j, v in enumerate(votes):
+                odds += math.log(seen[j][1][v] / sum(seen[j][1])) - math.log(seen[j][0][v] / sum(seen[j][0]))
+            post[code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    return post
+
+
+def train(counts: dict[str, int], post: dict[str, float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+    """Scores of every vote pattern by a logistic classifier over its source and votes, trained on the posteriors."""
+    names = sorted({code.split(":")[0] for code in counts})
+    features = {code: [float(code.split(":")[0] == n) for n in names] + [float(v == str(w)) for v in code.split(":")[1] for w in (0, 2)] for code in counts}
+    weight = {code: math.log1p(n) for code, n in counts.items()}
+    total = sum(weight.values()) or 1.0
+    w = [0.0] * (len(names) + 10)
+    score = dict.fromkeys(counts, 0.5)
+    for _ in range(steps):
+        step = [-decay * x for x in w]
+        for code, x in features.items():
+            gap = weight[code] / total * (post[code] - score[code])
+            for i, v in enumerate(x):
+                if v:
+                    step[i] += gap * v
+        w = [a + 10 * rate * b for a, b in zip(w, step, strict=True)]
+        score = {code: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True)))) for code, x in features.items()}
+    return score
+
+
+def accepted(found: DataFrame) -> list[str]:
+    """Codes of further candidates that the classifier takes."""
+    # At most 7 * 3^5 codes exist, so the counts have a fixed bound.
+    counts = {r["code"]: r["n"] for r in found.select(F.explode("cands.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    score = train(counts, estimate(counts))
+    return sorted(code for code, p in score.items() if p >= 0.5)
+
+
+def chosen(codes: list[str]) -> Column:
+    """The spans (s, k, e, base) by start and kind."""
+    taken = "array(" + ", ".join(f"'{c}'" for c in codes) + ")" if codes else "cast(array() as array<string>)"
+    return F.expr(f"array_distinct(array_sort(transform(filter(cands, x -> x.base or array_contains({taken}, x.code)), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'base', x.base))))")
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of ``docs(doc_id, text)``."""
+    found = materialise(candidates(docs, ["doc_id"]).drop("body"), "pii")
+    rows = found.select("doc_id", chosen(accepted(found)).alias("spans"))
+    kinds = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k + 1)"
+    joined = f"array_join(transform(%s, x -> concat_ws(':', {kinds}, x.s, x.e)), ',')"
+    count = [F.expr(f"cast(size(filter(spans, x -> x.base and x.k = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    return rows.select("doc_id", *count, F.sha2(F.expr(joined % "filter(spans, x -> x.base)"), 256).alias("base_sha256"), F.expr(joined % "spans").alias("spans"), F.expr("cast(size(filter(spans, x -> not x.base)) as bigint)").alias("n_added"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of its text replaced by its kind in angle brackets, and ``n_chars`` to match; null texts stay null."""
+    codes = accepted(candidates(docs, []))
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = candidates(docs.withColumn("was_null", F.col("text").isNull()), [*rest, "was_null"])
+    rows = found.select(*rest, "was_null", "body", chosen(codes).alias("spans"))
+    marks = "element_at(array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + "), x.k + 1)"
+    text = (
+        "if(size(spans) = 0, body, aggregate(spans, named_struct('p', 0, 'a', cast(array() as array<string>)), "
+        f"(acc, x) -> if(x.s >= acc.p, named_struct('p', x.e, 'a', concat(acc.a, array(substring(body, acc.p + 1, x.s - acc.p), {marks}))), named_struct('p', greatest(acc.p, x.e), 'a', acc.a)), "
+        "acc -> array_join(acc.a, '') || substring(body, acc.p + 1)))"
+    )
+    done = rows.select(*rest, F.when(~F.col("was_null"), F.expr(text)).alias("text"))
+    return done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)

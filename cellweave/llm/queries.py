@@ -22,6 +22,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, learn(docs))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.minhash import near_duplicates
 
@@ -78,5 +84,23 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs}
-ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_embeddings": OP6_SQL}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.chat import format_chats
+
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, k, string_agg(x, chr(10)) OVER (PARTITION BY conv_id ORDER BY k) AS s FROM t),
+c AS (SELECT conv_id, max(k) AS n, arg_max(s, k) AS s FROM p GROUP BY conv_id),
+o AS (SELECT s, min(conv_id) AS conv_id, min(n) AS n FROM c GROUP BY s)
+SELECT o.conv_id, CAST(o.n AS BIGINT) AS n_turns, o.s AS rendered FROM o
+WHERE NOT EXISTS (SELECT 1 FROM p JOIN c USING (conv_id) WHERE p.k < c.n AND p.s = o.s)
+"""
+
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs, "op10_chat": op10_chat}
+ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL}
