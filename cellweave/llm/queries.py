@@ -15,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.language import learn, predict
 
@@ -102,5 +108,5 @@ SELECT o.conv_id, CAST(o.n AS BIGINT) AS n_turns, o.s AS rendered FROM o
 WHERE NOT EXISTS (SELECT 1 FROM p JOIN c USING (conv_id) WHERE p.k < c.n AND p.s = o.s)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_main_text": op2_main_text, "op3_language": op3_language, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs, "op10_chat": op10_chat}
 ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL}
