@@ -90,6 +90,12 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm.pieces import encode_pieces
+
+    return encode_pieces(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm.chat import format_chats
 
@@ -108,5 +114,5 @@ SELECT o.conv_id, CAST(o.n AS BIGINT) AS n_turns, o.s AS rendered FROM o
 WHERE NOT EXISTS (SELECT 1 FROM p JOIN c USING (conv_id) WHERE p.k < c.n AND p.s = o.s)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_main_text": op2_main_text, "op3_language": op3_language, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs, "op10_chat": op10_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_main_text": op2_main_text, "op3_language": op3_language, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_spotsigs": op8_spotsigs, "op9_pieces": op9_pieces, "op10_chat": op10_chat}
 ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL}
