@@ -1,4 +1,625 @@
-"""All queries of the engine's own operators, with their DuckDB equivalents."""
+"""All queries of the engine's own operators over the driver's tables, with their DuckDB equivalents.
+
+Values that both engines compute in floating point are rounded after adding a small offset, so that
+results on a rounding boundary agree. Vertex sets are written as text, vertices joined by "-".
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.operators import connectivity as C
+from cellweave.operators import encodings as P
+from cellweave.operators import evaluation as V
+from cellweave.operators import features as X
+from cellweave.operators import graph as G
+from cellweave.operators import liftings as S
+from cellweave.operators import propagation as M
+from cellweave.sources import readers as R
+from cellweave.sources import tables as T
+from cellweave.storage import materialise
+from cellweave.streaming import degrees as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# Shared parts of the SQL.
+H = "H AS (SELECT DISTINCT l_partkey AS v, l_orderkey AS he FROM lineitem)"
+E = H + ", E AS (SELECT DISTINCT a.v AS u, b.v AS v FROM H a JOIN H b ON a.he = b.he AND a.v < b.v)"
+H3 = H + ", HS AS (SELECT h.* FROM H h JOIN (SELECT he FROM H GROUP BY he HAVING count(*) <= 3) s USING (he))"
+E3 = H3 + ", E AS (SELECT DISTINCT a.v AS u, b.v AS v FROM HS a JOIN HS b ON a.he = b.he AND a.v < b.v)"
+N = "E AS (SELECT CAST(a.n_nationkey AS BIGINT) AS u, CAST(b.n_nationkey AS BIGINT) AS v FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
+U = ", U AS (SELECT u AS s, v AS t FROM E UNION ALL SELECT v, u FROM E)"
+TRI = ", T AS (SELECT a.u AS a, a.v AS b, b.v AS c FROM E a JOIN E b ON a.v = b.u JOIN E c ON c.u = a.u AND c.v = b.v)"
+TET = TRI + ", K AS (SELECT t.a, t.b, t.c, e.v AS d FROM T t JOIN E e ON e.u = t.c JOIN E f ON f.u = t.a AND f.v = e.v JOIN E g ON g.u = t.b AND g.v = e.v)"
+#: Signed and unsigned incidences of the complex over E, T, K, as rows (r, i, j, s): face, cell, sign.
+EN, TN, KN = "(u || '-' || v)", "(a || '-' || b || '-' || c)", "(a || '-' || b || '-' || c || '-' || d)"
+B1 = f", B1 AS (SELECT CAST(u AS VARCHAR) AS i, {EN} AS j, -1 AS s FROM E UNION ALL SELECT CAST(v AS VARCHAR), {EN}, 1 FROM E)"
+B2 = f", B2 AS (SELECT b || '-' || c AS i, {TN} AS j, 1 AS s FROM T UNION ALL SELECT a || '-' || c, {TN}, -1 FROM T UNION ALL SELECT a || '-' || b, {TN}, 1 FROM T)"
+B3 = f", B3 AS (SELECT b || '-' || c || '-' || d AS i, {KN} AS j, 1 AS s FROM K UNION ALL SELECT a || '-' || c || '-' || d, {KN}, -1 FROM K UNION ALL SELECT a || '-' || b || '-' || d, {KN}, 1 FROM K UNION ALL SELECT a || '-' || b || '-' || c, {KN}, -1 FROM K)"
+PARTS = "SELECT p_partkey AS v FROM part"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def near(x: Column, digits: int = 6) -> Column:
+    return F.round(x + 1e-9, digits)
+
+
+def names(df: DataFrame) -> DataFrame:
+    return df.select(*[C.name(c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes if c != "g"])
+
+
+def matrix(df: DataFrame) -> DataFrame:
+    return df.select(F.col("row").cast("string").alias("i"), F.col("col").cast("string").alias("j"), F.col("val").cast("long").alias("val"))
+
+
+def nation_cells(spark: SparkSession, sf: str, dim: int = 3) -> DataFrame:
+    return S.clique_complex(T.nations(spark, sf), T.nation_graph(spark, sf), dim)
+
+
+def sparse_cells(spark: SparkSession, sf: str, dim: int = 2) -> DataFrame:
+    return S.clique_complex(T.parts(spark, sf), T.sparse_graph(spark, sf), dim)
+
+
+# --- sources, graph primitives
+
+
+@query(f"WITH {H} SELECT v, he FROM H")
+def incidence_hyperedges(spark, sf):
+    return T.order_hypergraph(spark, sf).select("v", "he")
+
+
+@query(f"WITH {E} SELECT u, v FROM E")
+def clique_expansion_edges(spark, sf):
+    return T.purchase_graph(spark, sf).select("u", "v")
+
+
+@query(f"WITH {E3}{U} SELECT s AS src, t AS dst FROM U")
+def to_undirected(spark, sf):
+    return G.to_undirected(T.sparse_graph(spark, sf)).select("src", "dst")
+
+
+@query(f"WITH {E3}{U} SELECT p_partkey AS v FROM part WHERE p_partkey NOT IN (SELECT s FROM U)")
+def isolated_nodes(spark, sf):
+    return G.isolated(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v")
+
+
+@query(f"WITH {E}{U} SELECT p.v, CAST(count(U.s) AS BIGINT) AS degree FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v")
+def node_degrees(spark, sf):
+    return G.degrees(T.parts(spark, sf), T.purchase_graph(spark, sf)).select("v", "degree")
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT p.v, count(U.s) AS degree FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v) SELECT v, CAST(k AS BIGINT) AS k FROM d, range(0, 41) r(k) WHERE k = degree")
+def one_hot_degree(spark, sf):
+    hot = G.degrees(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v", X.one_hot(F.col("degree"), 40).alias("x"))
+    return hot.select("v", F.posexplode("x").alias("k", "x")).where("x = 1").select("v", F.col("k").cast("long").alias("k"))
+
+
+@query(f"WITH {H} SELECT he, CAST(count(*) AS BIGINT) AS n FROM H GROUP BY he")
+def hyperedge_cardinality(spark, sf):
+    return T.order_hypergraph(spark, sf).groupBy("he").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {E}{TRI} SELECT {TN} AS verts FROM T")
+def triangles(spark, sf):
+    return names(G.triangles(T.purchase_graph(spark, sf)))
+
+
+@query(f"WITH {E3}{TET} SELECT {KN} AS verts FROM K")
+def tetrahedra(spark, sf):
+    return names(G.cliques(T.sparse_graph(spark, sf), 4))
+
+
+@query(f"WITH {N}{TET} SELECT {KN} AS verts FROM K")
+def tetrahedra_nation(spark, sf):
+    return names(G.cliques(T.nation_graph(spark, sf), 4))
+
+
+@query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U")
+def khop_1(spark, sf):
+    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf), 1).select("centre", "v")
+
+
+@query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s")
+def khop_2(spark, sf):
+    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("centre", "v")
+
+
+@query(f"WITH {E3}{U}, d2 AS (SELECT p.v AS c, p.v AS v, 0 AS d FROM ({PARTS}) p UNION ALL SELECT s, t, 1 FROM U UNION ALL SELECT a.s, b.t, 2 FROM U a JOIN U b ON a.t = b.s) SELECT c AS centre, v, CAST(min(d) AS INTEGER) AS d FROM d2 GROUP BY c, v")
+def bfs_distance_2(spark, sf):
+    return G.distances(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("centre", "v", "d")
+
+
+CC = "r(v, root) AS (SELECT v, v FROM nodes UNION SELECT U.t, r.root FROM r JOIN U ON U.s = r.v), c AS (SELECT v, min(root) AS component FROM r GROUP BY v)"
+
+
+@query(f"WITH RECURSIVE {N}{U}, nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS v FROM nation), {CC} SELECT v, component FROM c")
+def connected_components(spark, sf):
+    return G.components(T.nations(spark, sf), T.nation_graph(spark, sf)).select("v", "component")
+
+
+@query(f"WITH RECURSIVE {N}{U}, nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS v FROM nation), {CC}, top AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS index FROM c JOIN top USING (component)")
+def largest_component(spark, sf):
+    return G.largest_components(T.nations(spark, sf), T.nation_graph(spark, sf)).select("v", "index")
+
+
+@query(f"WITH {E3}{U}{TRI}, d AS (SELECT p.v, count(U.s) AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM T UNION ALL SELECT b FROM T UNION ALL SELECT c FROM T) GROUP BY v) SELECT d.v, round(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0 END + 1e-9, 6) AS clustering FROM d LEFT JOIN k USING (v)")
+def clustering_coefficient(spark, sf):
+    return G.clustering(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v", near(F.col("clustering")).alias("clustering"))
+
+
+@query(f"WITH RECURSIVE {E3}{U}, d AS (SELECT p.v, count(U.s) AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), n AS (SELECT count(*) AS n FROM d), s1 AS (SELECT d.v, d, 1.0 / n AS r FROM d, n), "
+       "s2 AS (SELECT s1.v, s1.d, 0.15 / n + 0.85 * (coalesce(w, 0) + (SELECT coalesce(sum(r), 0) FROM s1 WHERE d = 0) / n) AS r FROM s1 CROSS JOIN n LEFT JOIN (SELECT t, sum(r / d) AS w FROM U JOIN s1 ON s1.v = U.s GROUP BY t) q ON q.t = s1.v), "
+       "s3 AS (SELECT s2.v, 0.15 / n + 0.85 * (coalesce(w, 0) + (SELECT coalesce(sum(r), 0) FROM s2 WHERE d = 0) / n) AS r FROM s2 CROSS JOIN n LEFT JOIN (SELECT t, sum(r / d) AS w FROM U JOIN s2 ON s2.v = U.s GROUP BY t) q ON q.t = s2.v) "
+       "SELECT v, round(r + 1e-9, 8) AS rank FROM s3")
+def pagerank_2(spark, sf):
+    return G.pagerank(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("v", near(F.col("rank"), 8).alias("rank"))
+
+
+# --- connectivity algebra
+
+
+@query(f"WITH {E3}{B1} SELECT i, j, CAST(s AS BIGINT) AS val FROM B1")
+def incidence_1_signed(spark, sf):
+    return matrix(C.incidence(sparse_cells(spark, sf, 1), 1))
+
+
+@query(f"WITH {E3}{TRI}{B2} SELECT i, j, CAST(s AS BIGINT) AS val FROM B2")
+def incidence_2_signed(spark, sf):
+    return matrix(C.incidence(sparse_cells(spark, sf), 2))
+
+
+@query(f"WITH {N}{TET}{B3} SELECT i, j, CAST(s AS BIGINT) AS val FROM B3")
+def incidence_3_nation(spark, sf):
+    return matrix(C.incidence(nation_cells(spark, sf), 3))
+
+
+@query(f"WITH {E3}{B1} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
+def up_laplacian_0(spark, sf):
+    return matrix(C.up_laplacian(sparse_cells(spark, sf, 1), 0))
+
+
+@query(f"WITH {E3}{B1} SELECT x.j AS i, y.j AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
+def down_laplacian_1(spark, sf):
+    return matrix(C.down_laplacian(sparse_cells(spark, sf, 1), 1))
+
+
+@query(f"WITH {E3}{TRI}{B2} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B2 x JOIN B2 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
+def up_laplacian_1(spark, sf):
+    return matrix(C.up_laplacian(sparse_cells(spark, sf), 1))
+
+
+@query(f"WITH {N}{TRI}{B1}{B2}, z AS (SELECT x.i AS i, y.i AS j, x.s * y.s AS s FROM B2 x JOIN B2 y ON x.j = y.j UNION ALL SELECT x.j, y.j, x.s * y.s FROM B1 x JOIN B1 y ON x.i = y.i) SELECT i, j, CAST(sum(s) AS BIGINT) AS val FROM z GROUP BY 1, 2 HAVING sum(s) <> 0")
+def hodge_laplacian_1(spark, sf):
+    return matrix(C.hodge_laplacian(nation_cells(spark, sf, 2), 1))
+
+
+@query(f"WITH {E3}{B1} SELECT DISTINCT x.i, y.i AS j, CAST(1 AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.j = y.j AND x.i <> y.i")
+def adjacency_0(spark, sf):
+    return matrix(C.adjacency(sparse_cells(spark, sf, 1), 0))
+
+
+@query(f"WITH {E3}{B1} SELECT DISTINCT x.j AS i, y.j AS j, CAST(1 AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i AND x.j <> y.j")
+def coadjacency_1(spark, sf):
+    return matrix(C.coadjacency(sparse_cells(spark, sf, 1), 1))
+
+
+@query(f"WITH {E3}{TRI}, m AS (SELECT a AS v, {TN} AS t FROM T UNION ALL SELECT b, {TN} FROM T UNION ALL SELECT c, {TN} FROM T) SELECT DISTINCT CAST(x.v AS VARCHAR) AS i, CAST(y.v AS VARCHAR) AS j, CAST(1 AS BIGINT) AS val FROM m x JOIN m y ON x.t = y.t AND x.v <> y.v")
+def nbhd_2_up_adjacency_0(spark, sf):
+    return matrix(C.neighbourhood(sparse_cells(spark, sf), "2-up_adjacency-0"))
+
+
+@query(f"WITH {E3}{TRI}, m AS (SELECT a AS v, {TN} AS t FROM T UNION ALL SELECT b, {TN} FROM T UNION ALL SELECT c, {TN} FROM T) SELECT CAST(v AS VARCHAR) AS i, t AS j, CAST(1 AS BIGINT) AS val FROM m")
+def nbhd_2_down_incidence_2(spark, sf):
+    return matrix(C.neighbourhood(sparse_cells(spark, sf), "2-down_incidence-2"))
+
+
+@query(f"WITH {N}{TRI} SELECT {EN} AS i, {TN} AS j, CAST(1 AS BIGINT) AS val FROM E, T WHERE list_has_all([a, b, c], [u, v])")
+def combinatorial_incidence(spark, sf):
+    return matrix(C.containment(nation_cells(spark, sf, 2), 1, 2))
+
+
+@query(f"WITH {E3}{TRI} SELECT (SELECT count(*) FROM part) AS n_0, (SELECT count(*) FROM E) AS n_1, (SELECT count(*) FROM T) AS n_2")
+def cell_statistics(spark, sf):
+    return C.cell_statistics(sparse_cells(spark, sf), 2).select("n_0", "n_1", "n_2")
+
+
+# --- feature liftings
+
+PX = "x AS (SELECT p_partkey AS v, CAST(p_size AS BIGINT) AS x FROM part)"
+
+
+def part_sizes(spark, sf, name="id"):
+    return T.read(spark, sf, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias(name), F.col("p_size").cast("long").alias("x"))
+
+
+@query(f"WITH {E}, {PX} SELECT (u || '-' || E.v) AS id, p.x + q.x AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
+def projection_sum_1(spark, sf):
+    cells = G.cliques(T.purchase_graph(spark, sf), 2).withColumn("rank", F.lit(1))
+    return X.projection_sum_simplices(cells, part_sizes(spark, sf), 1).select(C.name("verts").alias("id"), "x")
+
+
+@query(f"WITH {E}{TRI}, {PX} SELECT {TN} AS id, 2 * (p.x + q.x + r.x) AS x FROM T JOIN x p ON p.v = a JOIN x q ON q.v = b JOIN x r ON r.v = c")
+def projection_sum_2(spark, sf):
+    cells = G.triangles(T.purchase_graph(spark, sf)).withColumn("rank", F.lit(2))
+    return X.projection_sum_simplices(cells, part_sizes(spark, sf), 2).select(C.name("verts").alias("id"), "x")
+
+
+@query(f"WITH {E3}, {PX} SELECT (u || '-' || E.v) AS id, p.x + q.x AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
+def projection_sum_incidence(spark, sf):
+    b = C.incidence(sparse_cells(spark, sf, 1), 1)
+    x = part_sizes(spark, sf).withColumn("id", F.col("id").cast("string"))
+    return X.projection_sum(b, x).select("id", F.col("x").cast("long").alias("x"))
+
+
+@query(f"WITH {H}, {PX} SELECT he, CAST(sum(x) AS BIGINT) AS x FROM H JOIN x USING (v) GROUP BY he")
+def projection_sum_hyperedges(spark, sf):
+    b = T.order_hypergraph(spark, sf).select("g", F.col("v").alias("row"), F.col("he").alias("col"), F.lit(1).alias("val"))
+    return X.projection_sum(b, part_sizes(spark, sf)).select(F.col("id").alias("he"), "x")
+
+
+@query(f"WITH {E}, {PX} SELECT (u || '-' || E.v) AS id, p.x || ',' || q.x AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
+def concatenation_1(spark, sf):
+    e = T.purchase_graph(spark, sf)
+    b = e.select("g", F.explode(F.array("u", "v")).alias("row"), F.concat_ws("-", "u", "v").alias("col"), F.lit(1).alias("val"))
+    x = part_sizes(spark, sf).withColumn("x", F.array("x"))
+    return X.concatenation(b, x).select("id", F.array_join(F.col("x").cast("array<string>"), ",").alias("x"))
+
+
+@query(f"WITH {E3}{TRI} SELECT {TN} AS id, {TN} AS verts FROM T")
+def set_lifting_2(spark, sf):
+    cells = sparse_cells(spark, sf)
+    sets = cells.where("rank = 1").select("g", C.name("verts").alias("id"), "verts")
+    return names(X.set_lifting(C.incidence(cells, 2), sets))
+
+
+@query("WITH t AS (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_partkey % 2 = 0) SELECT p_partkey, round((p_retailprice - m) / s + 1e-9, 6) AS x FROM part, t")
+def standardize(spark, sf):
+    p = T.read(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
+    return X.standardise(p, "x", F.col("p_partkey") % 2 == 0).select("p_partkey", near(F.col("x")).alias("x"))
+
+
+# --- encodings, curvature, homophily
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s), p AS (SELECT U.s, t, 1.0 / d AS p FROM U JOIN d USING (s)), q AS (SELECT a.s, b.t, sum(a.p * b.p) AS p FROM p a JOIN p b ON a.t = b.s GROUP BY 1, 2), r AS (SELECT a.s, b.t, sum(a.p * b.p) AS p FROM q a JOIN p b ON a.t = b.s AND b.t = a.s GROUP BY 1, 2) SELECT CAST(2 AS INTEGER) AS k, s AS v, round(p + 1e-9, 6) AS p FROM q WHERE s = t UNION ALL SELECT 3, s, round(p + 1e-9, 6) FROM r WHERE s = t")
+def rwse_k3(spark, sf):
+    return P.random_walk(T.sparse_graph(spark, sf), 3).select("k", "v", near(F.col("p")).alias("p"))
+
+
+DEG = f"{B1}{B2}{B3}, d0 AS (SELECT i, count(*) AS d FROM B1 GROUP BY i), d1 AS (SELECT i, count(*) AS d FROM B2 GROUP BY i), d2 AS (SELECT i, count(*) AS d FROM B3 GROUP BY i), c1 AS (SELECT e.j AS id, 4 - sum(d0.d) + 3 * coalesce(any_value(d1.d), 0) AS x FROM B1 e JOIN d0 USING (i) LEFT JOIN d1 ON d1.i = e.j GROUP BY e.j)"
+
+
+@query(f"WITH {E3}{TET}{DEG} SELECT b.i AS id, CAST(sum(x) AS BIGINT) AS x FROM B1 b JOIN c1 ON c1.id = b.j GROUP BY b.i")
+def simplicial_curvature_0(spark, sf):
+    return P.curvature(materialise(sparse_cells(spark, sf, 3), "cells"))[0].select("id", F.col("x").cast("long").alias("x"))
+
+
+@query(f"WITH {E3}{TET}{DEG} SELECT id, CAST(x AS BIGINT) AS x FROM c1")
+def simplicial_curvature_1(spark, sf):
+    return P.curvature(materialise(sparse_cells(spark, sf, 3), "cells"))[1].select("id", F.col("x").cast("long").alias("x"))
+
+
+@query(f"WITH {E3}{TET}{DEG}, o AS (SELECT x.j AS i, y.j AS j, x.s * y.s AS s FROM B2 x JOIN B2 y ON x.i = y.i UNION ALL SELECT x.i, y.i, -x.s * y.s FROM B3 x JOIN B3 y ON x.j = y.j), w AS (SELECT i, sum(s) AS s FROM o WHERE i <> j GROUP BY i) SELECT {TN} AS id, CAST(3 + coalesce(d2.d, 0) - coalesce(w.s, 0) AS BIGINT) AS x FROM T LEFT JOIN d2 ON d2.i = {TN} LEFT JOIN w ON w.i = {TN}")
+def simplicial_curvature_2(spark, sf):
+    return P.curvature(materialise(sparse_cells(spark, sf, 3), "cells"))[2].select("id", F.col("x").cast("long").alias("x"))
+
+
+GH = f"{H}, y AS (SELECT p_partkey AS v, p_type AS y FROM part), m AS (SELECT H.he, H.v, y FROM H JOIN y USING (v)), z AS (SELECT he, count(*) AS k FROM H GROUP BY he HAVING count(*) > 1), top AS (SELECT k FROM z GROUP BY k ORDER BY count(*) DESC, k LIMIT 3), s AS (SELECT he, y, count(*) AS t FROM m GROUP BY he, y), D AS (SELECT k, v, y, t, count(*) AS d FROM m JOIN z USING (he) JOIN top USING (k) JOIN s USING (he, y) GROUP BY k, v, y, t)"
+
+
+def part_types(spark, sf):
+    return T.read(spark, sf, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("v"), F.col("p_type").alias("y"))
+
+
+@query(f"WITH {GH} SELECT k, v, y, t, CAST(d AS BIGINT) AS d FROM D")
+def group_homophily_d(spark, sf):
+    return P.group_degrees(T.order_hypergraph(spark, sf), part_types(spark, sf), 3)
+
+
+@query(f"WITH {GH}, n AS (SELECT k, y, t, sum(d) AS n FROM D GROUP BY k, y, t) SELECT k, y, t, round(n / sum(n) OVER (PARTITION BY k, y) + 1e-9, 6) AS dt FROM n")
+def group_homophily_dt(spark, sf):
+    return P.group_affinity(P.group_degrees(T.order_hypergraph(spark, sf), part_types(spark, sf), 3)).select("k", "y", "t", near(F.col("dt")).alias("dt"))
+
+
+CH = "(CASE WHEN {k} < 0 OR {k} > {n} THEN 0.0 WHEN {k} = 0 THEN 1.0 WHEN {k} = 1 THEN CAST({n} AS DOUBLE) ELSE CAST({n} AS DOUBLE) * ({n} - 1) / 2 END)"
+
+
+@query("WITH c AS (SELECT p_type AS y, count(*) AS nc, sum(count(*)) OVER () AS n FROM part GROUP BY p_type), r AS (SELECT y, nc, CAST(n AS BIGINT) AS n, k, t FROM c, (VALUES (2), (3)) q(k), (VALUES (1), (2), (3)) w(t) WHERE t <= k) "
+       f"SELECT CAST(k AS INTEGER) AS k, y, CAST(t AS INTEGER) AS t, round({CH.format(n='(nc - 1)', k='(t - 1)')} * {CH.format(n='(n - nc)', k='(k - t)')} / {CH.format(n='(n - 1)', k='(k - 1)')} + 1e-9, 6) AS bt FROM r")
+def group_homophily_bt(spark, sf):
+    return P.group_baseline(part_types(spark, sf), [2, 3]).select("k", "y", "t", near(F.col("bt")).alias("bt"))
+
+
+MH = f"{H}, y AS (SELECT p_partkey AS v, p_type AS y FROM part), z AS (SELECT he, count(*) AS n FROM H GROUP BY he), dg AS (SELECT v, count(*) AS m FROM H GROUP BY v), e0 AS (SELECT he, y, count(*) * 1.0 / any_value(n) AS p FROM H JOIN y USING (v) JOIN z USING (he) GROUP BY he, y)"
+
+
+@query(f"WITH {MH} SELECT he, y, round(p + 1e-9, 6) AS p FROM e0")
+def mp_homophily_step0(spark, sf):
+    out = P.message_passing_homophily(T.order_hypergraph(spark, sf), part_types(spark, sf), 0)
+    return out.select("he", "y", near(F.col("p")).alias("p"))
+
+
+@query(f"WITH {MH}, n0 AS (SELECT v, y, sum(p) / any_value(m) AS p FROM H JOIN e0 USING (he) JOIN dg USING (v) GROUP BY v, y), e1 AS (SELECT he, y, sum(p) / any_value(n) AS p FROM H JOIN n0 USING (v) JOIN z USING (he) GROUP BY he, y) SELECT he, y, round(p + 1e-9, 5) AS p FROM e1")
+def mp_homophily_step1(spark, sf):
+    out = P.message_passing_homophily(T.order_hypergraph(spark, sf), part_types(spark, sf), 1).where("step = 1")
+    return out.select("he", "y", near(F.col("p"), 5).alias("p"))
+
+
+# --- structural liftings
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s) SELECT u, E.v, CAST(4 - p.d - q.d AS BIGINT) AS frc FROM E JOIN d p ON p.s = u JOIN d q ON q.s = E.v")
+def forman_ricci_edges(spark, sf):
+    return S.forman_ricci(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("u", "v", "frc")
+
+
+@query(f"WITH RECURSIVE {N}, d AS (SELECT u, v, 4 - 4 - 4 + (u % 3) AS frc FROM E), cut AS (SELECT quantile_cont(frc, 0.5) AS c FROM d), F AS (SELECT u, v FROM d, cut WHERE frc <= c), U AS (SELECT u AS s, v AS t FROM F UNION ALL SELECT v, u FROM F), nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS v FROM nation), {CC} SELECT v, component AS he FROM c")
+def forman_ricci_hyperedges(spark, sf):
+    nodes, edges = T.nations(spark, sf), T.nation_graph(spark, sf)
+    curved = S.forman_ricci(nodes, edges).withColumn("frc", F.col("frc") + F.col("u") % 3)
+    return S.forman_ricci_hyperedges(nodes, curved, 0.5).select("v", "he")
+
+
+@query(f"WITH {E3}{U}, s AS (SELECT p.v AS c, p.v FROM ({PARTS}) p UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s), k AS (SELECT c, v FROM s WHERE (c, v) NOT IN (SELECT s, t FROM U)) SELECT c AS centre, string_agg(v, '-' ORDER BY v) AS verts FROM k GROUP BY c")
+def neighborhood_complex_sets(spark, sf):
+    return names(S.neighbourhood_complex_sets(T.parts(spark, sf), T.sparse_graph(spark, sf)))
+
+
+@query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E) SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e")
+def line_graph_edges(spark, sf):
+    return S.line_graph(T.sparse_graph(spark, sf)).select("u", "v")
+
+
+@query(f"WITH {E3}{U}, w AS (SELECT list_sort([b.s, a.s, b.t]) AS x FROM U a JOIN U b ON a.t = b.s AND b.t <> a.s) SELECT DISTINCT array_to_string(x, '-') AS verts FROM w")
+def graph_induced_2(spark, sf):
+    return names(S.connected_subsets(T.sparse_graph(spark, sf), 3))
+
+
+@query(f"WITH {E3}{U}, b AS (SELECT p.v AS c, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U) SELECT DISTINCT x.v || '-' || y.v || '-' || z.v AS verts FROM b x JOIN b y ON x.c = y.c AND x.v < y.v JOIN b z ON z.c = x.c AND y.v < z.v")
+def khop_simplices(spark, sf):
+    return names(S.neighbourhood_simplices(T.parts(spark, sf), T.sparse_graph(spark, sf), 2))
+
+
+@query(f"WITH {N}{TRI} SELECT {TN} AS verts FROM T")
+def vietoris_rips_triangles(spark, sf):
+    return names(S.vietoris_rips(T.nations(spark, sf), T.nation_graph(spark, sf), 1).where("rank = 2").select("g", "verts"))
+
+
+@query(f"WITH {N}{TRI} SELECT {EN} AS verts FROM E UNION ALL SELECT {TN} FROM T")
+def eccentricity_simplices(spark, sf):
+    return names(S.eccentricity_simplices(T.nations(spark, sf), T.nation_graph(spark, sf), 3))
+
+
+@query(f"WITH {N}{TRI}, s AS (SELECT {TN} AS t, [a, b, c] AS m, b || '-' || c AS e FROM T UNION ALL SELECT {TN}, [a, b, c], a || '-' || c FROM T UNION ALL SELECT {TN}, [a, b, c], a || '-' || b FROM T), n AS (SELECT x.t, list_sort(list_distinct(flatten(list(y.m)))) AS m FROM s x JOIN s y ON x.e = y.e GROUP BY x.t) SELECT DISTINCT array_to_string(m, '-') AS verts FROM n")
+def coface_3cells(spark, sf):
+    return names(S.coface_cells(nation_cells(spark, sf, 2)))
+
+
+HU = "S AS (SELECT he, count(*) AS n FROM HS GROUP BY he)"
+INS = "J AS (SELECT x.he AS a, y.he AS b FROM HS x JOIN HS y ON x.v = y.v AND x.he <> y.he JOIN S p ON p.he = x.he JOIN S q ON q.he = y.he WHERE p.n < q.n GROUP BY x.he, y.he, p.n HAVING count(*) = p.n)"
+
+
+@query(f"WITH {H3}, {HU}, {INS}, r1 AS (SELECT S.he, n, CASE WHEN n = 1 THEN 0 ELSE 1 END AS r FROM S), r2 AS (SELECT r1.he, greatest(r, coalesce(max(q.r0) + 1, 0)) AS r FROM r1 LEFT JOIN (SELECT J.b, r1.r AS r0 FROM J JOIN r1 ON r1.he = J.a) q ON q.b = r1.he GROUP BY r1.he, r), "
+       "r3 AS (SELECT r2.he, greatest(r, coalesce(max(q.r0) + 1, 0)) AS r FROM r2 LEFT JOIN (SELECT J.b, r2.r AS r0 FROM J JOIN r2 ON r2.he = J.a) q ON q.b = r2.he GROUP BY r2.he, r) SELECT he, CAST(r AS INTEGER) AS rank FROM r3")
+def universal_strict_rank(spark, sf):
+    return S.universal_strict_rank(T.small_orders(spark, sf)).select("he", "rank")
+
+
+@query()
+def triangle_cc_cells(spark, sf):
+    return names(S.triangle_cells(T.sparse_graph(spark, sf)))
+
+
+@query(f"WITH {N}, p AS (SELECT CAST(n_nationkey AS VARCHAR) AS n, [CAST(n_nationkey AS BIGINT)] AS s, 0 AS d FROM nation UNION ALL SELECT {EN}, [u, v], 1 FROM E) SELECT CAST(a.d + b.d AS INTEGER) AS rank, a.n AS a, b.n AS b FROM p a, p b WHERE NOT list_has_any(a.s, b.s)")
+def dcc_k2_cells(spark, sf):
+    return S.configuration_cells(T.nations(spark, sf), T.nation_graph(spark, sf)).select("rank", "a", "b")
+
+
+MC = "f AS (SELECT p_partkey AS v, p_retailprice AS f FROM part), z AS (SELECT min(f) - 1e-3 AS lo, (max(f) + 1e-3 - (min(f) - 1e-3)) / (10 - 9 * 0.3) AS w FROM f)"
+
+
+@query(f"WITH {MC} SELECT v, CAST(k AS INTEGER) AS bin FROM f, z, range(0, 10) r(k) WHERE f >= lo + k * w * 0.7 AND f <= lo + k * w * 0.7 + w")
+def mapper_cover(spark, sf):
+    f = T.read(spark, sf, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("v"), F.col("p_retailprice").alias("f"))
+    return S.mapper_cover(f).select("v", "bin")
+
+
+@query()
+def mapper_clusters(spark, sf):
+    f = T.read(spark, sf, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("v"), F.col("p_retailprice").alias("f"))
+    return S.mapper_clusters(S.mapper_cover(f), T.sparse_graph(spark, sf)).select("v", "bin", "cluster")
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s), m AS (SELECT count(*) AS m FROM E) SELECT u, E.v, round(1 - p.d * q.d / (2.0 * m) + 1e-9, 6) AS b FROM E JOIN d p ON p.s = u JOIN d q ON q.s = E.v, m")
+def modularity_matrix(spark, sf):
+    return S.modularity_matrix(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("u", "v", near(F.col("b")).alias("b"))
+
+
+@query()
+def cycle_basis_cells(spark, sf):
+    return names(S.fundamental_cycles(T.nations(spark, sf), T.nation_graph(spark, sf)))
+
+
+@query()
+def kernel_hyperedges(spark, sf):
+    return S.kernel_hypergraph(T.nation_graph(spark, sf)).select("v", "he")
+
+
+# --- point clouds
+
+PD = "p AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), w AS (SELECT a.v AS a, b.v AS b, list_distance(a.x, b.x) AS d FROM p a, p b WHERE a.v <> b.v)"
+
+
+@query(f"WITH {PD}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM w) SELECT a AS centre, b AS v, round(d + 1e-9, 6) AS d FROM r WHERE r <= 3")
+def knn_k3_embeddings(spark, sf):
+    return S.knn(T.points(spark, sf), 3).select("centre", "v", near(F.col("d")).alias("d"))
+
+
+@query(f"WITH {PD} SELECT a, b, round(d + 1e-9, 6) AS d FROM w WHERE d <= 1.1")
+def radius_graph_embeddings(spark, sf):
+    return S.radius_graph(T.points(spark, sf), 1.1).select("a", "b", near(F.col("d")).alias("d"))
+
+
+@query("WITH p AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT v AS he, x AS y FROM p WHERE v < 8) SELECT v, arg_min(he, list_distance(x, y)) AS he FROM p, s GROUP BY v")
+def voronoi_assign(spark, sf):
+    p = T.points(spark, sf)
+    return S.voronoi(p, p.where("v < 8").select("g", "v")).select("v", "he")
+
+
+@query("WITH p AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT v AS he, x AS y FROM p WHERE v < 8), b AS (SELECT v, he FROM p, s WHERE list_distance(x, y) <= 1.2) SELECT v, he FROM b UNION ALL SELECT v, v FROM p WHERE v NOT IN (SELECT v FROM b)")
+def pointnet_balls(spark, sf):
+    p = T.points(spark, sf)
+    return S.pointnet(p, p.where("v < 8").select("g", "v"), 1.2).select("v", "he")
+
+
+@query()
+def farthest_points(spark, sf):
+    return S.farthest_points(T.points(spark, sf), 0.02).select("v")
+
+
+@query()
+def random_flag_betti(spark, sf):
+    nodes = T.nations(spark, sf)
+    edges = S.random_flag_edges(nodes, 0.1, 2)
+    return S.betti_numbers(S.clique_complex(nodes, edges, 2), 1).select("dim", "betti")
+
+
+# --- splits, batching, pooling, metrics, losses
+
+@query("WITH h AS (SELECT p_partkey, ('0x' || substr(md5('42-' || p_partkey), 1, 8))::BIGINT / 4294967296.0 AS h FROM part) SELECT p_partkey, CASE WHEN h < 0.5 THEN 'train' WHEN h < 0.75 THEN 'valid' ELSE 'test' END AS split FROM h")
+def random_split(spark, sf):
+    return V.random_split(T.read(spark, sf, "part"), "p_partkey")
+
+
+@query("SELECT p_partkey, p_type, CAST((row_number() OVER (PARTITION BY p_type ORDER BY md5('0-' || p_partkey), p_partkey) - 1) % 5 AS INTEGER) AS fold FROM part")
+def kfold(spark, sf):
+    return V.k_fold(T.read(spark, sf, "part"), "p_partkey", "p_type", 5)
+
+
+@query("WITH s AS (SELECT c_nationkey AS g, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT g, n, (row_number() OVER (ORDER BY g) - 1) // 8 AS batch FROM s) SELECT g, n, CAST(batch AS BIGINT) AS batch, CAST(sum(n) OVER (PARTITION BY batch ORDER BY g) - n AS BIGINT) AS \"offset\" FROM b")
+def batch_offsets(spark, sf):
+    return V.batch_offsets(T.read(spark, sf, "customer").select(F.col("c_nationkey").alias("g")), 8)
+
+
+@query("SELECT c_nationkey, CAST(sum(CAST(c_acctbal * 100 AS BIGINT)) AS BIGINT) AS sum_x, round(avg(CAST(c_acctbal * 100 AS BIGINT)) + 1e-9, 3) AS mean_x, max(CAST(c_acctbal * 100 AS BIGINT)) AS max_x FROM customer GROUP BY c_nationkey")
+def graph_pool(spark, sf):
+    c = T.read(spark, sf, "customer").select("c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("x"))
+    return V.pool(c, "c_nationkey", "x").withColumn("mean_x", near(F.col("mean_x"), 3))
+
+
+def scored(spark, sf):
+    p = T.read(spark, sf, "part")
+    return p.select("p_partkey", (F.col("p_partkey") % 4).alias("label"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 5).alias("pred"), F.col("p_size").cast("double").alias("score"), (F.col("p_partkey") % 3 == 0).alias("positive"))
+
+
+SC = "r AS (SELECT p_partkey % 4 AS label, (p_partkey * 7 + p_size) % 5 AS pred, CAST(p_size AS DOUBLE) AS score, p_partkey % 3 = 0 AS positive FROM part)"
+
+
+@query(f"WITH {SC} SELECT label, pred, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY label, pred")
+def confusion_matrix(spark, sf):
+    return V.confusion(scored(spark, sf), "pred", "label")
+
+
+@query(f"WITH {SC}, c AS (SELECT DISTINCT label AS c FROM r UNION SELECT pred FROM r), m AS (SELECT c, (SELECT count(*) FROM r WHERE label = c) AS s, (SELECT count(*) FROM r WHERE pred = c) AS k, (SELECT count(*) FROM r WHERE pred = c AND label = c) AS t FROM c), f AS (SELECT *, CASE WHEN k > 0 THEN t / k ELSE 0 END AS p, CASE WHEN s > 0 THEN t / s ELSE 0 END AS q FROM m), "
+       "x AS (SELECT *, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS f FROM f) SELECT round(sum(t) / sum(s) + 1e-9, 6) AS accuracy, round(avg(p) + 1e-9, 6) AS precision, round(avg(q) + 1e-9, 6) AS recall, round(avg(f) + 1e-9, 6) AS f1_macro, round(sum(f * s) / sum(s) + 1e-9, 6) AS f1_weighted FROM x")
+def classification_report(spark, sf):
+    out = V.classification_report(scored(spark, sf), "pred", "label")
+    return out.select(*(near(F.col(c)).alias(c) for c in out.columns))
+
+
+@query(f"WITH {SC}, k AS (SELECT positive, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM r) SELECT round((sum(rk) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)) + 1e-9, 6) AS auroc FROM k")
+def auroc(spark, sf):
+    return V.auroc(scored(spark, sf), "score", "positive").select(near(F.col("auroc")).alias("auroc"))
+
+
+@query("WITH r AS (SELECT p_retailprice AS y, 900 + 10.0 * p_size AS p FROM part) SELECT round(avg(abs(p - y)) + 1e-9, 4) AS mae, round(avg((p - y) * (p - y)) + 1e-9, 3) AS mse, round(sqrt(avg((p - y) * (p - y))) + 1e-9, 4) AS rmse, round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) + 1e-9, 6) AS r2 FROM r")
+def regression_report(spark, sf):
+    out = V.regression_report(T.read(spark, sf, "part").select(F.col("p_retailprice").alias("y"), (900 + 10.0 * F.col("p_size")).alias("p")), "p", "y")
+    return out.select(near(F.col("mae"), 4).alias("mae"), near(F.col("mse"), 3).alias("mse"), near(F.col("rmse"), 4).alias("rmse"), near(F.col("r2")).alias("r2"))
+
+
+@query("SELECT p_partkey, round(ln(exp(p_size / 10.0) + exp(p_size / 20.0) + exp(1.0)) - CASE p_partkey % 3 WHEN 0 THEN p_size / 10.0 WHEN 1 THEN p_size / 20.0 ELSE 1.0 END + 1e-9, 6) AS loss FROM part")
+def cross_entropy(spark, sf):
+    p = T.read(spark, sf, "part")
+    logits = F.array(F.col("p_size") / 10.0, F.col("p_size") / 20.0, F.lit(1.0))
+    return p.select("p_partkey", near(V.cross_entropy(logits, (F.col("p_partkey") % 3).cast("int"))).alias("loss"))
+
+
+@query("WITH r AS (SELECT p_partkey, p_size / 10.0 - 2 AS x, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 2 AS DOUBLE) END AS y, 1.0 - p_size / 25.0 AS x2, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 1.0 END AS y2 FROM part), l AS (SELECT p_partkey, greatest(x, 0) - x * y + ln(1 + exp(-abs(x))) AS a, greatest(x2, 0) - x2 * y2 + ln(1 + exp(-abs(x2))) AS b FROM r) SELECT p_partkey, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END + 1e-9, 6) AS loss FROM l")
+def bce_masked(spark, sf):
+    p = T.read(spark, sf, "part")
+    k = F.col("p_partkey")
+    logits = F.array(F.col("p_size") / 10.0 - 2, 1.0 - F.col("p_size") / 25.0)
+    targets = F.array(F.when(k % 5 != 0, (k % 2).cast("double")), F.when(k % 7 != 0, F.lit(1.0)))
+    return p.select("p_partkey", near(V.bce_masked(logits, targets)).alias("loss"))
+
+
+@query("SELECT user_id AS run, event_id AS epoch, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r FROM events) WHERE r = 1")
+def best_epoch(spark, sf):
+    e = T.read(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value")
+    return V.best_epoch(e, "run", "value")
+
+
+@query("SELECT event_type, round(avg(value) + 1e-9, 6) AS mean_s, round(stddev_pop(value) + 1e-9, 6) AS std_s FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r > 10 GROUP BY event_type")
+def timer_stats(spark, sf):
+    out = V.timer_stats(T.read(spark, sf, "events"), "event_type", "event_id", "value")
+    return out.select("event_type", near(F.col("mean_s")).alias("mean_s"), near(F.col("std_s")).alias("std_s"))
+
+
+# --- forward passes, ETL, streams
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT p.v, count(U.s) + 1 AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), a AS (SELECT s, t FROM U UNION ALL SELECT v, v FROM d), {PX} SELECT s AS v, round(sum(x.x / sqrt(p.d * q.d)) + 1e-9, 6) AS x FROM a JOIN d p ON p.v = s JOIN d q ON q.v = t JOIN x ON x.v = t GROUP BY s")
+def gcn_propagation(spark, sf):
+    op = M.normalised_adjacency(T.parts(spark, sf), T.sparse_graph(spark, sf))
+    return M.propagate(op, part_sizes(spark, sf)).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
+
+
+@query(f"WITH {H}, {PX}, m AS (SELECT he, avg(x) AS m FROM H JOIN x USING (v) GROUP BY he), b AS (SELECT v, avg(m) AS m FROM H JOIN m USING (he) GROUP BY v) SELECT x.v, round(0.5 * coalesce(m, 0) + 0.5 * x + 1e-9, 6) AS x FROM x LEFT JOIN b USING (v)")
+def hypergraph_mean_pass(spark, sf):
+    return M.hypergraph_mean_pass(T.order_hypergraph(spark, sf), part_sizes(spark, sf)).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
+
+
+@query(f"WITH {E3}{TRI}, m AS (SELECT a AS v FROM T UNION ALL SELECT b FROM T UNION ALL SELECT c FROM T) SELECT CAST(v AS VARCHAR) AS v, CAST(2 * count(*) AS BIGINT) AS x FROM m GROUP BY v")
+def signal_down(spark, sf):
+    cells = sparse_cells(spark, sf)
+    ones = cells.where("rank = 2").select("g", C.name("verts").alias("id"), F.lit(1).alias("x"))
+    return M.signal_down([C.incidence(cells, 2), C.incidence(cells, 1)], ones).select(F.col("id").alias("v"), F.col("x").cast("long").alias("x"))
+
+
+@query("WITH s AS (SELECT c_custkey AS f, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS d, 1000.0 + c_custkey AS p FROM customer), m AS (SELECT avg(d) AS m FROM s), c AS (SELECT f, coalesce(d, m) AS d, p FROM s, m), l AS (SELECT o_custkey AS a, (o_custkey * 7 + o_orderkey) % 2000 AS b FROM orders), k AS (SELECT a, b FROM l WHERE a IN (SELECT f FROM c) AND b IN (SELECT f FROM c)), o AS (SELECT a AS f FROM k INTERSECT SELECT b FROM k), j AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM k WHERE a <> b AND a IN (SELECT f FROM o) AND b IN (SELECT f FROM o)), q AS (SELECT u AS f FROM j UNION SELECT v FROM j) "
+       "SELECT f AS fips, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS v, round((d - p) / (d + p) + 1e-9, 6) AS y FROM c WHERE f IN (SELECT f FROM q)")
+def county_etl(spark, sf):
+    c = T.read(spark, sf, "customer")
+    text = F.when(F.col("c_custkey") % 11 == 0, "n/a").otherwise(F.regexp_replace(F.col("c_acctbal").cast("string"), r"\.", ","))
+    stats = c.select(F.col("c_custkey").alias("FIPS"), text.alias("DEM"), (1000.0 + F.col("c_custkey")).cast("string").alias("GOP"))
+    o = T.read(spark, sf, "orders")
+    links = o.select(F.col("o_custkey").alias("SRC"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 2000).alias("DST"))
+    nodes, _ = R.county_etl(stats, links)
+    return nodes.select(F.col("FIPS").alias("fips"), "v", near(F.col("y")).alias("y"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, user_id, CAST(count(*) AS BIGINT) AS degree, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY 1, 2")
+def windowed_degrees(spark, sf):
+    out = D.windowed_degrees(T.read(spark, sf, "events"))
+    return out.withColumn("total", near(F.col("total"), 4))
+
+
+@query()
+def laplacian_pe(spark, sf):
+    out = P.laplacian_pe(T.nations(spark, sf), T.nation_graph(spark, sf), 4)
+    return out.select("v", F.array_join(F.transform("pe", lambda e: F.round(F.abs(e), 4).cast("string")), ",").alias("pe"))
 
-QUERIES: dict = {}
-ORACLES: dict = {}
