@@ -6,10 +6,11 @@ bands follows from the threshold, so that a pair at the threshold is missed with
 under ``miss``. The work then never expands a group into pairs:
 
 1. Equal sets are one class, found by a digest; only class representatives go on.
-2. In every bucket each member is compared with the bucket's first member alone (a star), on full
-   shingle sets; components of the confirmed links are contracted.
-3. What stays apart inside a bucket is compared across components, after a filter on compact
-   signatures that passes any pair over the threshold but for a negligible share.
+2. In every bucket each member is compared, on full shingle sets, with one member alone (a star):
+   the one that meets most others over all bands. Components of the confirmed links follow.
+3. Members of a star that are not in its largest component are compared with the rest of the star,
+   in blocks whose number grows with the root of the star; a block returns links between components,
+   never pairs, so nothing that grows with the square of a group is written.
 
 Links join exactly the pairs with ``100 * |A & B| >= percent * |A | B|`` among candidates. Texts
 travel compressed to the comparison and are shingled there again, as hashes do not compress.
@@ -34,7 +35,11 @@ from cellweave.llm.shingles import runs_of, mix, shingle_sets
 from cellweave.storage import materialise
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
-_BLOCK = 1 << 16
+#: A star of n members is cut into about sqrt(n / BLOCK) blocks.
+BLOCK = 16
+#: So many distinct shingles are multiplied at a time.
+COLUMNS = 4096
+_CACHED = 1 << 16
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -55,7 +60,7 @@ def min_max(keys: np.ndarray, offsets: np.ndarray, permutations: int) -> np.ndar
     # Blocks of sets that fit the processor's cache together.
     begin = 0
     while begin < len(offsets) - 1:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _BLOCK, side="right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _CACHED, side="right")) - 1)
         part, starts = x[offsets[begin] : offsets[end]], offsets[begin:end] - offsets[begin]
         for k, (a, b) in enumerate(constants):
             h = part * a
@@ -68,7 +73,7 @@ def min_max(keys: np.ndarray, offsets: np.ndarray, permutations: int) -> np.ndar
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, compact): per document; digest and bands are null for empty sets."""
+    """(doc_id, n_shingles, digest, bands): per document; digest and bands are null for empty sets."""
     permutations = math.ceil(bands * rows / 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +95,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     code = np.full((n, bands), 17, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         code = mix(code * np.uint64(0xD6E8FEB86659FD93) + wide[:, :, r])
-                    compact = sig.astype(np.uint8).view(np.int8)
                 none = [None] * (hi - lo)
-                digests, codes, compacts = none[:], none[:], none[:]
+                digests, codes = none[:], none[:]
                 for j, k in enumerate(full.tolist()):
-                    digests[k], codes[k], compacts[k] = digest[j], code[j].view(np.int64), compact[j]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(compacts, pa.list_(pa.int8()))], names=["doc_id", "n_shingles", "digest", "bands", "compact"])
+                    digests[k], codes[k] = digest[j], code[j].view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, compact array<tinyint>")
+    return rows_.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -141,11 +145,70 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _agree(x: str, y: str, width: int, percent: int):
-    """Whether compact signatures agree in so many bytes that the pair may reach the threshold."""
-    # Over 200 values, a pair at the threshold falls 0.2 below its mean less often than once in 10^7.
-    least = int(width * (percent / 100 - 0.2))
-    return F.expr(f"size(filter(zip_with({x}, {y}, (p, q) -> p = q), e -> e)) >= {least}")
+def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) across components, from ``rows(key, first, rep, component, packed)``.
+
+    A key's rows are compared all with all, on full sets, in one task; if the key has rows that are
+    not ``first``, only first ones with the others. What comes back joins components, so it is never
+    more than one row less than the key has.
+    """
+
+    def links(first: np.ndarray, reps: np.ndarray, component: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
+        keys, offsets = shingle_sets(texts, shingle)
+        size = np.diff(offsets)
+        # Shingles of one document only are in no intersection.
+        _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = np.cumsum(shared) - 1
+        kept = shared[column]
+        of, column = np.repeat(np.arange(len(texts)), size)[kept], place[column][kept]
+        both = np.zeros((len(texts), len(texts)), dtype=np.float32)
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            part = (column >= lo) & (column < lo + COLUMNS)
+            m = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+            m[of[part], column[part] - lo] = 1
+            both += m @ m.T
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        near &= component[:, None] != component[None, :]
+        if not first.all():
+            near &= first[:, None] & ~first[None, :]
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = find(int(component[i])), find(int(component[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(reps[i]), int(reps[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor()
+        held: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
+            cut = lambda k, t: np.array([h[k] for h in held], dtype=t)
+            found = links(cut(1, bool), cut(2, np.int64), cut(3, np.int64), [opened.decompress(h[4]) for h in held]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield settle()
+                    held = []
+                held.append(row)
+        if held:
+            yield settle()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "first", "rep", "component", "packed").repartition(n, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -153,31 +216,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bands = bands_for(percent, rows, miss)
     signed = materialise(signatures(docs, shingle, bands, rows), "signatures")
     # Ids with several texts stand for all of them: their classes are linked by the id.
-    classes = materialise(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "compact", "n_shingles"), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
-    banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "code"))
-    heads = banded.groupBy("band", "code").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = materialise(banded.join(heads, ["band", "code"]).select("band", "code", "head", "rep", "n_shingles"), "members")
-    in_buckets = members.select("rep").distinct()
+    classes = materialise(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "code"))
+    counts = banded.groupBy("band", "code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialise(banded.join(counts, ["band", "code"]), "members")
+    # A bucket's first member is the one that meets most others in all bands: the centre of a group, not any copy.
+    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
+    heads = members.join(met, "rep").groupBy("band", "code").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("head"))
+    star = materialise(members.join(heads, ["band", "code"]).where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "star")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_py() or b"") for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(in_buckets.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = materialise(wanted.mapInArrow(shrink, "doc_id long, packed binary"), "texts")
-    star = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(_confirm(star, texts, shingle, percent), "links")
     found = connected_components(links)
-    # Across the components that share a bucket: only these pairs are left to be compared.
-    part = materialise(members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parts")
-    split = part.groupBy("band", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "code")
-    rest = part.join(split, ["band", "code"]).join(classes.select("rep", "compact"), "rep")
-    left = rest.select("band", "code", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("compact").alias("sa"))
-    right = rest.select("band", "code", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("compact").alias("sb"))
-    cross = left.join(right, ["band", "code"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    cross = cross.where(_agree("sa", "sb", bands * rows, percent)).select("a", "b").distinct()
-    more = materialise(_confirm(cross.join(star, ["a", "b"], "left_anti"), texts, shingle, percent), "links")
+    # Members of one star in different components are left to be compared. Of a star, the component with
+    # most members needs no comparison inside; the others meet it, and each other, in blocks.
+    arms = star.select("a", F.col("b").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("a", "rep", F.coalesce("component", "rep").alias("component"))
+    arms = materialise(arms, "arms")
+    tally = arms.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.sum("n").alias("n"), F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("int")
+    split = arms.join(tally, "a").select("a", "rep", "component", (F.col("component") != F.col("main")).alias("first"), blocks.alias("nb")).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    span = F.sequence(F.lit(0), F.col("nb") - 1)
+    same = F.transform(span, lambda j: F.struct(F.lit(0).alias("t"), F.least(j, F.col("k")).alias("i"), F.greatest(j, F.col("k")).alias("j")))
+    out = F.transform(span, lambda j: F.struct(F.lit(1).alias("t"), F.col("k").alias("i"), j.alias("j")))
+    back = F.transform(span, lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("k").alias("j")))
+    tasks = split.withColumn("task", F.explode(F.when(F.col("first"), F.concat(same, out)).otherwise(back)))
+    tasks = tasks.select(F.xxhash64("a", "task").alias("key"), (F.col("first") | (F.col("task.t") == 0)).alias("first"), "rep", "component").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    more = materialise(_cross(tasks, shingle, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.union(more))
     by_class = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
