@@ -56,7 +56,8 @@ def laplacian_pe(nodes: DataFrame, edges: DataFrame, k: int = 10, include_first:
 def curvature(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(g, id, x) for vertices, edges and triangles of a simplicial complex.
 
-    c1 = 4 - |B1|^T deg0 + 3 deg1; c0 = |B1| c1; c2 = 3 + deg2 - the off-diagonal row sums of B2^T B2 - B3 B3^T.
+    c1 = 4 - |B1|^T deg0 + 3 deg1; c0 = |B1| c1; c2 = 3 + deg2 - the off-diagonal row sums of
+    |B2|^T |B2| - |B3| |B3|^T.
     """
     b1, b2, b3 = (C.incidence(cells, r, signed=False) for r in (1, 2, 3))
     deg0, deg1, deg2 = (L.row_sums(b) for b in (b1, b2, b3))
@@ -65,9 +66,8 @@ def curvature(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     c1 = edges.join(near.withColumnRenamed("x", "a"), ["g", "id"], "left").join(deg1.withColumnRenamed("x", "b"), ["g", "id"], "left")
     c1 = c1.select("g", "id", (4 - F.coalesce("a", F.lit(0)) + 3 * F.coalesce("b", F.lit(0))).alias("x"))
     c0 = L.spmv(b1, c1)
-    s2, s3 = C.incidence(cells, 2), C.incidence(cells, 3)
-    down = L.spmm(L.transpose(s2), s2)
-    up = L.spmm(s3, L.transpose(s3)).withColumn("val", -F.col("val"))
+    down = L.spmm(L.transpose(b2), b2)
+    up = L.spmm(b3, L.transpose(b3)).withColumn("val", -F.col("val"))
     off = L.row_sums(L.off_diagonal(L.add(down, up)))
     faces = cells.where("rank = 2").select("g", C.name("verts").alias("id"))
     c2 = faces.join(deg2.withColumnRenamed("x", "a"), ["g", "id"], "left").join(off.withColumnRenamed("x", "b"), ["g", "id"], "left")

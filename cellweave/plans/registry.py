@@ -312,7 +312,7 @@ def simplicial_curvature_1(spark, sf):
     return P.curvature(materialise(sparse_cells(spark, sf, 3), "cells"))[1].select("id", F.col("x").cast("long").alias("x"))
 
 
-@query(f"WITH {E3}{TET}{DEG}, o AS (SELECT x.j AS i, y.j AS j, x.s * y.s AS s FROM B2 x JOIN B2 y ON x.i = y.i UNION ALL SELECT x.i, y.i, -x.s * y.s FROM B3 x JOIN B3 y ON x.j = y.j), w AS (SELECT i, sum(s) AS s FROM o WHERE i <> j GROUP BY i) SELECT {TN} AS id, CAST(3 + coalesce(d2.d, 0) - coalesce(w.s, 0) AS BIGINT) AS x FROM T LEFT JOIN d2 ON d2.i = {TN} LEFT JOIN w ON w.i = {TN}")
+@query(f"WITH {E3}{TET}{DEG}, o AS (SELECT x.j AS i, y.j AS j, 1 AS s FROM B2 x JOIN B2 y ON x.i = y.i UNION ALL SELECT x.i, y.i, -1 FROM B3 x JOIN B3 y ON x.j = y.j), w AS (SELECT i, sum(s) AS s FROM o WHERE i <> j GROUP BY i) SELECT {TN} AS id, CAST(3 + coalesce(d2.d, 0) - coalesce(w.s, 0) AS BIGINT) AS x FROM T LEFT JOIN d2 ON d2.i = {TN} LEFT JOIN w ON w.i = {TN}")
 def simplicial_curvature_2(spark, sf):
     return P.curvature(materialise(sparse_cells(spark, sf, 3), "cells"))[2].select("id", F.col("x").cast("long").alias("x"))
 
