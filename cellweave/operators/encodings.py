@@ -117,3 +117,34 @@ def message_passing_homophily(incidence: DataFrame, labels: DataFrame, steps: in
         shares = incidence.join(nodes, ["g", "v"]).groupBy("g", "he", "y").agg(F.sum("p").alias("p")).join(size, ["g", "he"]).select("g", "he", "y", (F.col("p") / F.col("n")).alias("p"))
         out = out.unionByName(shares.withColumn("step", F.lit(s)))
     return out.select("step", "he", "y", "p")
+
+
+def class_homophily(incidence: DataFrame, labels: DataFrame, shares: DataFrame) -> DataFrame:
+    """(step, y, p): mean over a class's nodes of the mean share of their own class in their hyperedges; nodes of one hyperedge are left out.
+
+    ``shares(step, he, y, p)`` come from :func:`message_passing_homophily`, of one hypergraph.
+    """
+    degree = incidence.groupBy("g", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mine = incidence.join(degree, ["g", "v"]).join(labels, ["g", "v"])
+    steps = shares.select("step").distinct()
+    # Absent shares count as zero: sums are divided by the full number of hyperedges.
+    per = mine.join(shares, ["he", "y"]).groupBy("step", "g", "v").agg(F.sum("p").alias("s"))
+    every = degree.join(labels, ["g", "v"]).crossJoin(steps)  # a row per step
+    return every.join(per, ["step", "g", "v"], "left").groupBy("step", "y").agg(F.avg(F.coalesce("s", F.lit(0.0)) / F.col("m")).alias("p"))
+
+
+def combined_encodings(nodes: DataFrame, edges: DataFrame, kinds: list[str], k: int = 10, steps: int = 10) -> DataFrame:
+    """(g, v, x): the named encodings ("LapPE", "RWSE") side by side in the order given."""
+    if not kinds or set(kinds) - {"LapPE", "RWSE"}:
+        raise ValueError(f"unknown encodings {kinds!r}")
+    out, columns = nodes.select("g", "v"), []
+    for i, kind in enumerate(kinds):
+        if kind == "LapPE":
+            part = laplacian_pe(nodes, edges, k).withColumnRenamed("pe", f"e{i}")
+        else:
+            found = random_walk(edges, steps).groupBy("g", "v").agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("m"))
+            part = found.select("g", "v", F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0))).alias(f"e{i}"))
+        width = k if kind == "LapPE" else steps
+        out = out.join(part, ["g", "v"], "left")
+        columns.append(F.coalesce(f"e{i}", F.array_repeat(F.lit(0.0), width)))
+    return out.select("g", "v", F.concat(*columns).alias("x"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.storage import materialise
+
 
 def hash_order(seed: int, column: str) -> Column:
     """A random order that any engine can repeat."""
@@ -114,3 +116,31 @@ def default_metrics(task: str) -> list[str]:
     if task not in found:
         raise ValueError(f"unknown task {task!r}")
     return found[task]
+
+
+def masked(rows: DataFrame, splits: DataFrame, column: str, split: str) -> DataFrame:
+    """The rows whose item is in one split: what a node-level task is scored on."""
+    return rows.join(splits.where(F.col("split") == split).select(column), column, "left_semi")
+
+
+def batch_numbers(items: DataFrame, column: str, size: int, seed: int | None = None) -> DataFrame:
+    """(column, batch): items in id order, or shuffled by hash where a seed is given, ``size`` to a batch.
+
+    Positions come from counts of hash ranges, so no task sorts all items; id order sorts by ranges of ids.
+    """
+    key = F.col(column) if seed is None else F.xxhash64(F.lit(seed), column)
+    parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = items.select(column, key.alias("k_")).repartitionByRange(parts, "k_", column).sortWithinPartitions("k_", column)
+    # One write fixes the partitions whose counts are added up.
+    numbered = materialise(dealt.select(column, F.spark_partition_id().alias("p_"), F.monotonically_increasing_id().alias("i_")), "batches")
+    counts = numbered.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"), F.min("i_").alias("first_"))
+    before = counts.select("p_", "first_", (F.sum("n_").over(Window.orderBy("p_")) - F.col("n_")).alias("before_"))  # a row per partition
+    return numbered.join(before, "p_").select(column, F.floor((F.col("before_") + F.col("i_") - F.col("first_")) / size).alias("batch"))
+
+
+def total_loss(parts: list[Column], weights: list[float] | None = None) -> Column:
+    """The weighted sum of a task's loss and its model's losses."""
+    out = F.lit(0.0)
+    for part, weight in zip(parts, weights or [1.0] * len(parts), strict=True):
+        out = out + weight * part
+    return out

@@ -76,13 +76,15 @@ def k_hop(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def distances(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """(g, centre, v, d) for all pairs within ``limit`` hops, by frontier expansion."""
+def distances(nodes: DataFrame, edges: DataFrame, limit: int, reach: DataFrame | None = None) -> DataFrame:
+    """(g, centre, v, d) for all pairs within ``limit`` hops, by frontier expansion; ``reach(g, centre, reach)`` may stop centres earlier."""
     both = to_undirected(edges)
     frontier = nodes.select("g", F.col("v").alias("centre"), "v", F.lit(0).alias("d"))
     seen = materialise(frontier, "bfs")
     frontier = seen
     for d in range(1, limit + 1):
+        if reach is not None:
+            frontier = frontier.join(reach.where(F.col("reach") >= d), ["g", "centre"], "left_semi")
         step = frontier.join(both.select("g", F.col("src").alias("v"), "dst"), ["g", "v"]).select("g", "centre", F.col("dst").alias("v")).distinct()
         frontier = materialise(step.join(seen, ["g", "centre", "v"], "left_anti").withColumn("d", F.lit(d)), "bfs")
         if frontier.isEmpty():
@@ -122,10 +124,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     size = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     base = nodes.join(size, "g").join(out.select("g", F.col("src").alias("v"), "d"), ["g", "v"], "left")
     state = base.withColumn("rank", 1 / F.col("n"))
-    for k in range(rounds):
+    for _ in range(rounds):
         loose = state.groupBy("g").agg(F.sum(F.when(F.col("d").isNull(), F.col("rank")).otherwise(0)).alias("loose"))
         sent = both.join(state.select("g", F.col("v").alias("src"), (F.col("rank") / F.col("d")).alias("w")), ["g", "src"]).groupBy("g", F.col("dst").alias("v")).agg(F.sum("w").alias("w"))
         state = base.join(sent, ["g", "v"], "left").join(loose, "g").select("g", "v", "n", "d", ((1 - damping) / F.col("n") + damping * (F.coalesce("w", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
-        if k % 5 == 4:
-            state = materialise(state, "pagerank")
+        # Each round reads its state twice, so a longer plan would double per round.
+        state = materialise(state, "pagerank")
     return state.select("g", "v", "rank")
+
+
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(g, v, x): eigenvector centrality by power iteration on A + I from a uniform start, of length 1 per graph."""
+    arcs = to_undirected(edges).union(nodes.select("g", F.col("v").alias("src"), F.col("v").alias("dst")))
+    state = nodes.select("g", "v", F.lit(1.0).alias("x"))
+    for k in range(rounds):
+        state = arcs.join(state.select("g", F.col("v").alias("src"), "x"), ["g", "src"]).groupBy("g", F.col("dst").alias("v")).agg(F.sum("x").alias("x"))
+        # The length only matters now and then; taken from a written table, it doubles no plan.
+        if k % 5 == 4 or k == rounds - 1:
+            state = materialise(state, "eigenvector")
+            length = state.groupBy("g").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+            state = state.join(length, "g").select("g", "v", (F.col("x") / F.col("length")).alias("x"))
+    return state

@@ -18,6 +18,7 @@ from cellweave.operators import features as X
 from cellweave.operators import graph as G
 from cellweave.operators import liftings as S
 from cellweave.operators import propagation as M
+from cellweave.operators import sampled as Z
 from cellweave.sources import readers as R
 from cellweave.sources import tables as T
 from cellweave.storage import materialise
@@ -623,3 +624,129 @@ def laplacian_pe(spark, sf):
     out = P.laplacian_pe(T.nations(spark, sf), T.nation_graph(spark, sf), 4)
     return out.select("v", F.array_join(F.transform("pe", lambda e: F.round(F.abs(e), 4).cast("string")), ",").alias("pe"))
 
+
+
+# --- seeded and spectral liftings, further forward passes
+
+
+@query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E), l AS (SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e) SELECT a.u || '-' || a.v || '-' || b.v AS verts FROM l a JOIN l b ON a.v = b.u JOIN l c ON c.u = a.u AND c.v = b.v")
+def line_lifting_triangles(spark, sf):
+    return names(Z.line_simplices(T.sparse_graph(spark, sf), 3))
+
+
+@query(f"WITH {E3}, {PX} SELECT (u || '-' || E.v) AS id, round((p.x + q.x) / 2.0 + 1e-9, 6) AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
+def line_lifting_features(spark, sf):
+    return Z.line_features(T.sparse_graph(spark, sf), part_sizes(spark, sf)).select("id", near(F.col("x")).alias("x"))
+
+
+def nation_points(spark, sf):
+    return T.nations(spark, sf).select("g", "v", F.array(F.col("v").cast("double")).alias("x"))
+
+
+@query("WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS v, n_regionkey AS r FROM nation), k AS (SELECT a.v, b.v AS he, row_number() OVER (PARTITION BY a.v ORDER BY abs(a.v - b.v), b.v) AS i FROM n a JOIN n b USING (r)) SELECT v, he FROM k WHERE i <= 3")
+def modularity_hyperedges(spark, sf):
+    return Z.modularity_hypergraph(nation_points(spark, sf), T.nation_graph(spark, sf), 5, 3).select("v", "he")
+
+
+MN = "f AS (SELECT CAST(n_nationkey AS BIGINT) AS v, n_regionkey AS r, CAST(n_nationkey AS DOUBLE) AS f FROM nation), z AS (SELECT min(f) - 1e-3 AS lo, (max(f) + 1e-3 - (min(f) - 1e-3)) / (4 - 3 * 0.3) AS w FROM f)"
+
+
+@query(f"WITH {N}{U}, {MN}, c AS (SELECT v, r, k FROM f, z, range(0, 4) q(k) WHERE f >= lo + k * w * 0.7 AND f <= lo + k * w * 0.7 + w) SELECT s AS v, 'e:' || s || '-' || t AS he FROM U UNION ALL SELECT t, 'e:' || s || '-' || t FROM U UNION ALL SELECT v, 'c:' || k || ':' || min(v) OVER (PARTITION BY k, r) FROM c")
+def mapper_hyperedges(spark, sf):
+    f = Z.scalar_filter(nation_points(spark, sf), kind="feature_sum")
+    return Z.mapper_hypergraph(f, T.nation_graph(spark, sf), 4).select("v", "he")
+
+
+@query("SELECT vec_id AS v, round(list_sum(CAST(embedding AS DOUBLE[])) + 1e-9, 6) AS f FROM embeddings")
+def mapper_filter_sum(spark, sf):
+    return Z.scalar_filter(T.points(spark, sf), kind="feature_sum").select("v", near(F.col("f")).alias("f"))
+
+
+@query()
+def mapper_filter_svd(spark, sf):
+    return Z.scalar_filter(T.points(spark, sf), kind="svd").select("v", near(F.col("f")).alias("f"))
+
+
+@query()
+def mapper_filter_pca(spark, sf):
+    return Z.scalar_filter(T.points(spark, sf), kind="feature_pca").select("v", near(F.col("f")).alias("f"))
+
+
+@query()
+def mogmst_hyperedges(spark, sf):
+    return Z.mixture_tree(T.points(spark, sf), 2, 4).select("v", "he")
+
+
+@query()
+def dnd_simplices(spark, sf):
+    return names(Z.dice_simplices(T.nations(spark, sf), T.nation_graph(spark, sf), 2))
+
+
+@query()
+def latent_clique_cells(spark, sf):
+    return names(Z.latent_clique_complex(T.nations(spark, sf), T.nation_graph(spark, sf), 2).select("g", "rank", "verts"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS v, CAST(0.2 AS DOUBLE) AS x FROM nation")
+def eigenvector_centrality(spark, sf):
+    return G.eigenvector(T.nations(spark, sf), T.nation_graph(spark, sf)).select("v", near(F.col("x")).alias("x"))
+
+
+@query(f"WITH {MH} SELECT y, round(avg(s) + 1e-9, 6) AS p FROM (SELECT v, y, sum(p) / any_value(m) AS s FROM H JOIN y USING (v) JOIN dg USING (v) JOIN e0 USING (he, y) WHERE m > 1 GROUP BY v, y) GROUP BY y")
+def class_homophily(spark, sf):
+    h, labels = T.order_hypergraph(spark, sf), part_types(spark, sf)
+    return P.class_homophily(h, labels, P.message_passing_homophily(h, labels, 0)).select("y", near(F.col("p")).alias("p"))
+
+
+@query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s) SELECT CAST(s AS VARCHAR) AS i, CAST(s AS VARCHAR) AS j, CAST(0.5 AS DOUBLE) AS val FROM d UNION ALL SELECT CAST(U.s AS VARCHAR), CAST(U.t AS VARCHAR), round(0.5 / sqrt(p.d * q.d) + 1e-9, 6) FROM U JOIN d p ON p.s = U.s JOIN d q ON q.s = U.t")
+def normalised_laplacian_0(spark, sf):
+    out = M.normalised_laplacian(C.up_laplacian(sparse_cells(spark, sf, 1), 0))
+    return out.select(F.col("row").alias("i"), F.col("col").alias("j"), near(F.col("val")).alias("val"))
+
+
+CN = "s AS (SELECT c_nationkey AS g, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY 1)"
+
+
+def customer_rows(spark, sf):
+    return T.read(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.array("c_acctbal").alias("x"))
+
+
+@query(f"WITH {CN} SELECT c_custkey AS id, round((c_acctbal - m) / sqrt(v + 1e-5) + 1e-9, 5) AS x FROM customer JOIN s ON g = c_nationkey")
+def graph_norm(spark, sf):
+    return M.graph_norm(customer_rows(spark, sf)).select("id", near(F.element_at("x", 1), 5).alias("x"))
+
+
+@query(f"WITH {CN}, r AS (SELECT c_custkey AS id, (c_acctbal - m) / sqrt(v + 1e-5) AS x FROM customer JOIN s ON g = c_nationkey) SELECT id, round(greatest(2 * x + 0.5, 0) + 1e-9, 5) AS x_1, round(greatest(0.25 - x, 0) + 1e-9, 5) AS x_2 FROM r")
+def cell_encoder(spark, sf):
+    out = M.encode(customer_rows(spark, sf), [[2.0], [-1.0]], [0.5, 0.25])
+    return out.select("id", near(F.element_at("x", 1), 5).alias("x_1"), near(F.element_at("x", 2), 5).alias("x_2"))
+
+
+@query("SELECT n_regionkey AS g, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS x FROM nation GROUP BY 1")
+def flat_encoder(spark, sf):
+    n = T.read(spark, sf, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("id"), F.array("n_nationkey").alias("x"))
+    return M.flatten_graphs(n).select("g", F.array_join(F.col("x").cast("array<string>"), ",").alias("x"))
+
+
+@query(f"WITH {N}{TRI} SELECT '0:' || x AS src, '1:' || {EN} AS dst FROM E, unnest([u, v]) q(x) UNION ALL SELECT '1:' || q.e, '2:' || {TN} FROM T, unnest([a || '-' || b, a || '-' || c, b || '-' || c]) q(e)")
+def hasse_graph(spark, sf):
+    return M.hasse_graph(nation_cells(spark, sf, 2), ["up_incidence-0", "up_incidence-1"]).select("src", "dst")
+
+
+@query(f"WITH {N}{B1}, c AS (SELECT DISTINCT x.j AS i, y.j AS j FROM B1 x JOIN B1 y ON x.i = y.i AND x.j <> y.j), x AS (SELECT {EN} AS id, u - 10 AS x FROM E), p AS (SELECT id, CAST(x AS DOUBLE) AS x FROM x UNION ALL SELECT c.i, 0.5 * x.x FROM c JOIN x ON x.id = c.j UNION ALL SELECT c.i, 0.25 * x.x FROM c JOIN x ON x.id = c.j) SELECT id, round(greatest(sum(x), 0) + 1e-9, 6) AS x FROM p GROUP BY id")
+def edge_cell_layer(spark, sf):
+    cells = nation_cells(spark, sf, 2)
+    x = cells.where("rank = 1").select("g", C.name("verts").alias("id"), (F.element_at("verts", 1) - 10).cast("double").alias("x"))
+    # Edges of a complete graph that share a vertex lie in one triangle: both operators have the same pattern.
+    out = M.edge_cell_layer(x, C.coadjacency(cells, 1), C.adjacency(cells, 1), 1.0, 0.5, 0.25)
+    return out.select("id", near(F.col("x")).alias("x"))
+
+
+@query()
+def dgm_edges(spark, sf):
+    return M.sampled_edges(T.points(spark, sf), 5, 0.0).select("a", "b", near(F.col("logprob")).alias("logprob"))
+
+
+@query("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 64 AS BIGINT) AS batch FROM part")
+def batch_numbers(spark, sf):
+    return V.batch_numbers(T.read(spark, sf, "part"), "p_partkey", 64)
