@@ -114,3 +114,22 @@ def test_batches_masks_and_losses(spark):
     correct = spark.createDataFrame([(0, 1, True)], "g long, v long, correct boolean")
     assert M.sampling_loss(edges, correct).first()["loss"] == pytest.approx(0.5 * -0.5 * (0.6065307 + 0.2231302) / 2)
     assert spark.range(1).select(V.total_loss([F.lit(1.0), F.lit(2.0)], [1.0, 0.5]).alias("x")).first()["x"] == 2.0
+
+
+def test_sampled_edges(spark):
+    points = spark.createDataFrame(CLOUD, "g long, v long, x array<double>")
+    got = rows(M.sampled_edges(points, 3, 4.0), "a", "b", "logprob")
+    assert got == rows(M.sampled_edges(points, 3, 4.0), "a", "b", "logprob") and len(got) == 24
+    # Squared distances across the two groups are near 100: at this temperature noise never bridges that.
+    assert all((a < 4) == (b < 4) and p > -2 for a, b, p in got)
+
+
+def test_kernel_hyperedges(spark):
+    from cellweave.operators import liftings as S
+
+    # Two separate edges: the heat kernel is positive inside an edge and 0 across, and half of the entries pass.
+    edges = spark.createDataFrame([(0, 0, 1), (0, 2, 3)], "g long, u long, v long")
+    got = {}
+    for v, he in rows(S.kernel_hypergraph(edges, 0.5), "v", "he"):
+        got.setdefault(he, set()).add(v)
+    assert sorted(map(sorted, got.values())) == [[0, 1], [2, 3]]
