@@ -123,6 +123,13 @@ def masked(rows: DataFrame, splits: DataFrame, column: str, split: str) -> DataF
     return rows.join(splits.where(F.col("split") == split).select(column), column, "left_semi")
 
 
+def split_masks(items: DataFrame, splits: DataFrame, column: str) -> DataFrame:
+    """``items`` with 0/1 columns train_mask, val_mask and test_mask from ``splits(column, split)``; items in no split get three zeros."""
+    joined = items.join(splits.select(column, "split"), column, "left")
+    marks = [F.coalesce((F.col("split") == s).cast("long"), F.lit(0).cast("long")).alias(f"{n}_mask") for n, s in (("train", "train"), ("val", "valid"), ("test", "test"))]
+    return joined.select(*items.columns, *marks)
+
+
 def batch_numbers(items: DataFrame, column: str, size: int, seed: int | None = None) -> DataFrame:
     """(column, batch): items in id order, or shuffled by hash where a seed is given, ``size`` to a batch.
 

@@ -101,9 +101,51 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, ["g", "v"], "left").select("g", "v", F.coalesce("component", "v").alias("component"))
 
 
-def largest_components(nodes: DataFrame, edges: DataFrame, n: int = 1) -> DataFrame:
-    """Nodes of the ``n`` largest components of each graph, re-indexed from 0: (g, v, component, index)."""
-    of = materialise(components(nodes, edges), "components")
+def strong_components(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(g, v, component) of directed ``arcs(g, src, dst)``: the least vertex that reaches v and is reached from it.
+
+    Vertices without arcs into or out of what remains are peeled off as components of their own.
+    Then every vertex takes the least vertex that reaches it; those that keep their own name are
+    roots, and what reaches a root among the vertices of its name is its component. Each step runs
+    to a fixed point, so rounds grow with the longest path: for undirected data use :func:`components`.
+    """
+    left = materialise(arcs.select("g", "src", "dst").where("src <> dst").distinct(), "scc-arcs")
+    done = None
+    while not left.isEmpty():
+        inner = left.join(left.select("g", F.col("src").alias("dst")).distinct(), ["g", "dst"], "left_semi")
+        inner = materialise(inner.join(left.select("g", F.col("dst").alias("src")).distinct(), ["g", "src"], "left_semi").select("g", "src", "dst"), "scc-arcs")
+        if inner.count() < left.count():
+            left = inner
+            continue
+        names = materialise(left.select("g", F.col("src").alias("v")).distinct().withColumn("c", F.col("v")), "scc-names")
+        while True:
+            sent = left.join(names.select("g", F.col("v").alias("src"), "c"), ["g", "src"]).select("g", F.col("dst").alias("v"), "c")
+            least = materialise(names.select("g", "v", "c", F.lit(1).alias("own")).unionByName(sent.withColumn("own", F.lit(0))).groupBy("g", "v").agg(F.min("c").alias("c"), F.max(F.when(F.col("own") == 1, F.col("c"))).alias("was")), "scc-names")
+            names = least.select("g", "v", "c")
+            if least.where("c < was").isEmpty():
+                break
+        inside = left.join(names.select("g", F.col("v").alias("src"), "c"), ["g", "src"]).join(names.select("g", F.col("v").alias("dst"), F.col("c").alias("cd")), ["g", "dst"]).where("c = cd")
+        inside = materialise(inside.select("g", "src", "dst"), "scc-inside")
+        found = frontier = materialise(names.where("v = c"), "scc-found")
+        while not frontier.isEmpty():
+            step = inside.join(frontier.select("g", F.col("v").alias("dst"), "c"), ["g", "dst"]).select("g", F.col("src").alias("v"), "c").distinct()
+            frontier = materialise(step.join(found, ["g", "v"], "left_anti").select("g", "v", "c"), "scc-found")
+            found = found.unionByName(frontier)
+        done = found if done is None else done.unionByName(found)
+        for end in ("src", "dst"):
+            left = left.join(found.select("g", F.col("v").alias(end)), ["g", end], "left_anti")
+        left = materialise(left.select("g", "src", "dst"), "scc-arcs")
+    if done is None:
+        return nodes.select("g", "v", F.col("v").alias("component"))
+    return nodes.join(done, ["g", "v"], "left").select("g", "v", F.coalesce("c", "v").alias("component"))
+
+
+def largest_components(nodes: DataFrame, edges: DataFrame, n: int = 1, strong: bool = False) -> DataFrame:
+    """Nodes of the ``n`` largest components of each graph, re-indexed from 0: (g, v, component, index).
+
+    With ``strong``, ``edges`` are arcs (g, src, dst) and components are strong ones.
+    """
+    of = materialise((strong_components if strong else components)(nodes, edges), "components")
     size = of.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n_nodes"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n_nodes"), "component"))
     kept = size.withColumn("r", rank).where(F.col("r") <= n).select("g", "component")

@@ -149,10 +149,21 @@ def khop_hypergraph(nodes: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame
     return G.k_hop(nodes, edges, k).select("g", F.col("centre").alias("he"), "v")
 
 
-def pair_distances(points: DataFrame) -> DataFrame:
-    """(g, a, b, d): Euclidean distance of all ordered pairs of a graph's points ``(g, v, x)``; for point clouds of one task's size per graph."""
-    a, b = points.select("g", F.col("v").alias("a"), F.col("x").alias("xa")), points.select("g", F.col("v").alias("b"), F.col("x").alias("xb"))
-    d = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
+def pair_distances(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(g, a, b, d): distance of all ordered pairs of a graph's points ``(g, v, x)``; for point clouds of one task's size per graph.
+
+    "hyperbolic" first shrinks points into the open unit ball, then takes the distance of the ball model.
+    """
+    if metric not in ("euclidean", "hyperbolic"):
+        raise ValueError(f"unknown metric {metric}")
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e)
+    x = F.col("x")
+    if metric == "hyperbolic":
+        # The margin of the ball and the offset under the inverse cosine.
+        x = F.transform("x", lambda e: e / (F.greatest(F.sqrt(square(F.col("x"))), F.lit(1.0)) * 1.01))
+    a, b = points.select("g", F.col("v").alias("a"), x.alias("xa")), points.select("g", F.col("v").alias("b"), x.alias("xb"))
+    apart = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
+    d = F.sqrt(apart) if metric == "euclidean" else F.acosh(1e-6 + 1 + 2 * apart / ((1 - square(F.col("xa"))) * (1 - square(F.col("xb")))))
     return a.join(b, "g").select("g", "a", "b", d.alias("d"))
 
 
@@ -230,26 +241,60 @@ def forman_ricci_hyperedges(nodes: DataFrame, curved: DataFrame, quantile: float
     return G.components(nodes, kept).select("g", "v", F.col("component").alias("he"))
 
 
-def kernel_hypergraph(edges: DataFrame, fraction: float = 0.5, t: float = 1.0) -> DataFrame:
-    """Heat-kernel hyperedges (g, v, he), dense per graph: exp(-t L_sym) thresholded at its (1 - fraction) quantile."""
+def kernel_hypergraph(edges: DataFrame, fraction: float = 0.5, t: float = 1.0, nodes: DataFrame | None = None, kernel="heat", features="identity", combine="prod", nu: float = 1.0, kappa: float = 1.0) -> DataFrame:
+    """Kernel hyperedges (g, v, he), dense per graph: a kernel matrix thresholded at its (1 - fraction) quantile.
+
+    The graph's kernel comes from the spectrum of L_sym: "heat" is exp(-t w), "matern" is
+    (2 nu / kappa^2 + w)^-nu, "identity" is one everywhere; a callable gets L_sym itself. ``features``
+    is "identity" (one everywhere) or a callable on the matrix of ``nodes(g, v, x)``. ``combine`` is
+    "prod", "sum" or a callable. Without ``nodes``, vertices are those with edges.
+    """
     import numpy as np
     import pandas as pd
 
+    spectra = {"heat": lambda w: np.exp(-t * w), "matern": lambda w: (2 * nu / kappa**2 + w) ** -nu}
+    combined = {"prod": np.multiply, "sum": np.add}
+    if not callable(kernel) and kernel != "identity" and kernel not in spectra:
+        raise ValueError(f"unknown graph kernel {kernel}")
+    if not callable(features) and features != "identity":
+        raise ValueError(f"unknown feature kernel {features}")
+    if not callable(combine) and combine not in combined:
+        raise ValueError(f"unknown combination {combine}")
+    if callable(features) and nodes is None:
+        raise ValueError("a feature kernel needs nodes")
+
     def lift(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf[["u", "v"]].to_numpy())
-        a = np.zeros((len(ids), len(ids)))
+        n = len(ids)
+        a = np.zeros((n, n))
         i, j = np.searchsorted(ids, pdf["u"]), np.searchsorted(ids, pdf["v"])
         a[i, j] = a[j, i] = 1
-        s = 1 / np.sqrt(np.maximum(a.sum(1), 1))
-        w, q = np.linalg.eigh(np.eye(len(ids)) - a * s[:, None] * s[None, :])
-        k = (q * np.exp(-t * w)) @ q.T
-        k = np.round(k, 12)
+        np.fill_diagonal(a, 0)
+        d = a.sum(1)
+        s = 1 / np.sqrt(np.maximum(d, 1))
+        laplacian = np.eye(n) - a * s[:, None] * s[None, :]
+        if callable(kernel):
+            k = np.asarray(kernel(laplacian), dtype=float)
+        elif kernel == "identity":
+            k = np.ones((n, n))
+        else:
+            w, q = np.linalg.eigh(laplacian)
+            k = (q * spectra[kernel](np.maximum(w, 0))) @ q.T
+        x = np.ones((n, n))
+        if callable(features):
+            own = pdf[pdf["x"].notna()].sort_values("u")
+            x = np.asarray(features(np.array(own["x"].tolist(), dtype=float)), dtype=float)
+        k = np.round((combine if callable(combine) else combined[combine])(k, x), 12)
         h = k >= np.quantile(k, 1 - fraction)
-        columns = {tuple(np.flatnonzero(h[:, c]).tolist()) for c in range(len(ids)) if h[:, c].sum() >= 2}
-        rows = [(key[0], int(ids[r]), n) for n, c in enumerate(sorted(columns)) for r in c]
+        columns = {tuple(np.flatnonzero(h[:, c]).tolist()) for c in range(n) if h[:, c].sum() >= 2}
+        rows = [(key[0], int(ids[r]), m) for m, c in enumerate(sorted(columns)) for r in c]
         return pd.DataFrame(rows, columns=["g", "v", "he"])
 
-    return edges.groupBy("g").applyInPandas(lift, "g long, v long, he long")
+    every = edges.select("g", "u", "v", F.lit(None).cast("array<double>").alias("x"))
+    if nodes is not None:
+        x = F.col("x").cast("array<double>") if "x" in nodes.columns else F.lit(None).cast("array<double>")
+        every = every.unionByName(nodes.select("g", F.col("v").alias("u"), "v", x.alias("x")))
+    return every.groupBy("g").applyInPandas(lift, "g long, v long, he long")
 
 
 def mapper_cover(values: DataFrame, resolution: int = 10, gain: float = 0.3) -> DataFrame:

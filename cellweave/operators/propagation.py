@@ -111,11 +111,11 @@ def hasse_graph(cells: DataFrame, neighbourhoods: list[str]) -> DataFrame:
     return out.distinct()
 
 
-def sampled_edges(points: DataFrame, k: int = 5, temperature: float = 4.0, seed: int = 0) -> DataFrame:
+def sampled_edges(points: DataFrame, k: int = 5, temperature: float = 4.0, seed: int = 0, metric: str = "euclidean") -> DataFrame:
     """(g, a, b, logprob): Gumbel top-k over squared distances times exp(temperature), drawn by hash; dense per graph, as all pairs are scored."""
     logit = F.col("d") * F.col("d") * float(math.exp(max(-5.0, min(5.0, temperature))))
     noise = F.pmod(F.xxhash64(F.lit(seed), "g", "a", "b"), F.lit(1 << 30)) / float(1 << 30) + 1e-8
-    scored = S.pair_distances(points).select("g", "a", "b", logit.alias("logit"), (logit - F.log(-F.log(noise))).alias("s"))
+    scored = S.pair_distances(points, metric).select("g", "a", "b", logit.alias("logit"), (logit - F.log(-F.log(noise))).alias("s"))
     order = Window.partitionBy("g", "a").orderBy("s", "b")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("g", "a", "b", (-F.col("logit")).alias("logprob"))
 

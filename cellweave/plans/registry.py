@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.operators import backbones as B
 from cellweave.operators import connectivity as C
 from cellweave.operators import encodings as P
 from cellweave.operators import evaluation as V
@@ -750,3 +751,120 @@ def dgm_edges(spark, sf):
 @query("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 64 AS BIGINT) AS batch FROM part")
 def batch_numbers(spark, sf):
     return V.batch_numbers(T.read(spark, sf, "part"), "p_partkey", 64)
+
+
+# --- layers with given weights
+
+FX = "f AS (SELECT p_partkey AS v, p_size / 50.0 AS a, 1.0 - p_size / 50.0 AS b FROM part)"
+
+
+def part_pairs(spark, sf):
+    return part_sizes(spark, sf).select("g", "id", F.array(F.col("x") / 50.0, 1.0 - F.col("x") / 50.0).alias("x"))
+
+
+def pairs_out(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("v"), near(F.col("x")[0]).alias("a"), near(F.col("x")[1]).alias("b"))
+
+
+def neighbour_sql(agg: str) -> str:
+    return f"WITH {E3}{U}, {FX}, m AS (SELECT U.t AS v, {agg}(f.a) AS a, {agg}(f.b) AS b FROM U JOIN f ON f.v = U.s GROUP BY U.t) SELECT f.v, round(f.a + coalesce(m.a, 0) + 1e-9, 6) AS a, round(f.b + coalesce(m.b, 0) + 1e-9, 6) AS b FROM f LEFT JOIN m ON m.v = f.v"
+
+
+def neighbours(spark, sf, how):
+    return pairs_out(B.neighbour_pass(G.to_undirected(T.sparse_graph(spark, sf)), part_pairs(spark, sf), how))
+
+
+@query(neighbour_sql("sum"))
+def neighbour_sum(spark, sf):
+    return neighbours(spark, sf, "sum")
+
+
+@query(neighbour_sql("avg"))
+def neighbour_mean(spark, sf):
+    return neighbours(spark, sf, "mean")
+
+
+@query(neighbour_sql("max"))
+def neighbour_max(spark, sf):
+    return neighbours(spark, sf, "max")
+
+
+@query(f"WITH {E3}{U}, {FX}, r AS (SELECT s, t FROM U UNION ALL SELECT v, v FROM f), z AS (SELECT r.t, p.a, p.b, 0.5 * p.a + p.b - 2.0 * q.a + 0.5 * q.b AS s FROM r JOIN f p ON p.v = r.s JOIN f q ON q.v = r.t), "
+       "w AS (SELECT t, a, b, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) AS w FROM z) SELECT t AS v, round(sum(w * a) / sum(w) + 1e-9, 6) AS a, round(sum(w * b) / sum(w) + 1e-9, 6) AS b FROM w GROUP BY t")
+def attention_pass(spark, sf):
+    return pairs_out(B.attention_pass(G.to_undirected(T.sparse_graph(spark, sf)), part_pairs(spark, sf), [0.5, 1.0], [-2.0, 0.5]))
+
+
+WS = "exp(CASE WHEN 2.0 * a - b > 0 THEN 2.0 * a - b ELSE 0.2 * (2.0 * a - b) END)"
+
+
+@query(f"WITH {H}, {FX}, w AS (SELECT *, {WS} AS w FROM f), e AS (SELECT he, sum(w * a) / sum(w) AS a, sum(w * b) / sum(w) AS b FROM H JOIN w USING (v) GROUP BY he), y AS (SELECT *, {WS} AS w FROM e) SELECT v, round(sum(w * a) / sum(w) + 1e-9, 6) AS a, round(sum(w * b) / sum(w) + 1e-9, 6) AS b FROM H JOIN y USING (he) GROUP BY v")
+def hypergraph_attention(spark, sf):
+    return pairs_out(B.hypergraph_attention(T.order_hypergraph(spark, sf), part_pairs(spark, sf), [2.0, -1.0]))
+
+
+@query("WITH r AS (SELECT c_nationkey AS g, c_custkey AS v, c_acctbal / 1000.0 AS a, (c_custkey % 7) / 7.0 - 0.5 AS b FROM customer), p AS (SELECT *, CASE WHEN a > 0 THEN a + 1 ELSE exp(a) END AS fa, CASE WHEN b > 0 THEN b + 1 ELSE exp(b) END AS fb FROM r), "
+       "s AS (SELECT g, sum(fa * a) AS aa, sum(fa * b) AS ab, sum(fb * a) AS ba, sum(fb * b) AS bb, sum(fa) AS na, sum(fb) AS nb FROM p GROUP BY g) SELECT v, round((fa * aa + fb * ba) / (fa * na + fb * nb) + 1e-9, 6) AS a, round((fa * ab + fb * bb) / (fa * na + fb * nb) + 1e-9, 6) AS b FROM p JOIN s USING (g)")
+def linear_attention(spark, sf):
+    c = T.read(spark, sf, "customer")
+    rows = c.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000.0, F.col("c_custkey") % 7 / 7.0 - 0.5).alias("x"))
+    return pairs_out(B.linear_attention(rows))
+
+
+def restriction_maps(spark, sf):
+    one = F.lit(1.0)
+    u, v = F.col("u"), F.col("v")
+    return T.sparse_graph(spark, sf).select("g", "u", "v", F.array(one + (u + v) % 3, one).alias("fu"), F.array(one, one - 2 * (u * v % 2)).alias("fv"))
+
+
+@query(f"WITH {E3}, m AS (SELECT u, v, 0 AS k, 1.0 + (u + v) % 3 AS p, 1.0 AS q FROM E UNION ALL SELECT u, v, 1, 1.0, 1.0 - 2 * (u * v % 2) FROM E), l AS (SELECT k, u AS i, u AS j, p * p AS x FROM m UNION ALL SELECT k, v, v, q * q FROM m UNION ALL SELECT k, u, v, -p * q FROM m UNION ALL SELECT k, v, u, -p * q FROM m), "
+       "w AS (SELECT k, i, j, CAST(sum(x) AS DOUBLE) AS x FROM l GROUP BY k, i, j), d AS (SELECT k, i, x FROM w WHERE i = j) SELECT w.k AS stalk, w.i, w.j, round(w.x / sqrt(p.x * q.x) + 1e-9, 6) AS val FROM w JOIN d p ON p.k = w.k AND p.i = w.i JOIN d q ON q.k = w.k AND q.i = w.j")
+def sheaf_laplacian(spark, sf):
+    return B.sheaf_laplacian(restriction_maps(spark, sf)).select("stalk", F.col("row").alias("i"), F.col("col").alias("j"), near(F.col("val")).alias("val"))
+
+
+@query(f"WITH {E3}{U}, {PX}, l AS (SELECT s AS i, s AS j, CAST(count(*) AS DOUBLE) AS a FROM U GROUP BY s UNION ALL SELECT s, t, -1.0 FROM U), y AS (SELECT i AS v, sum(a * x) AS x FROM l JOIN x ON x.v = l.j GROUP BY i), z AS (SELECT i AS v, sum(a * x) AS x FROM l JOIN y ON y.v = l.j GROUP BY i) "
+       "SELECT CAST(x.v AS VARCHAR) AS v, round(x.x + 0.5 * coalesce(y.x, 0) + 0.25 * coalesce(z.x, 0) + 1e-9, 6) AS x FROM x LEFT JOIN y ON y.v = x.v LEFT JOIN z ON z.v = x.v")
+def laplacian_polynomial(spark, sf):
+    x = part_sizes(spark, sf).withColumn("id", F.col("id").cast("string"))
+    return B.polynomial(C.up_laplacian(sparse_cells(spark, sf, 1), 0), x, [1, 0.5, 0.25]).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
+
+
+@query(f"WITH {N}{TRI}{B1}{B2}, ld AS (SELECT a.j AS i, b.j, sum(a.s * b.s) AS s FROM B1 a JOIN B1 b ON a.i = b.i GROUP BY 1, 2), lu AS (SELECT a.i, b.i AS j, sum(a.s * b.s) AS s FROM B2 a JOIN B2 b ON a.j = b.j GROUP BY 1, 2), "
+       "x AS (SELECT DISTINCT j AS i, 1.0 AS x FROM B1), p AS (SELECT j AS i, sum(s * CAST(i AS DOUBLE)) AS x FROM B1 GROUP BY j), q AS (SELECT i, sum(s) AS x FROM B2 GROUP BY i), a AS (SELECT * FROM x UNION ALL SELECT * FROM p UNION ALL SELECT * FROM q "
+       "UNION ALL SELECT ld.i, 0.5 * ld.s * x.x FROM ld JOIN x ON x.i = ld.j UNION ALL SELECT lu.i, 0.5 * lu.s * x.x FROM lu JOIN x ON x.i = lu.j UNION ALL SELECT ld.i, 0.5 * ld.s * p.x FROM ld JOIN p ON p.i = ld.j UNION ALL SELECT lu.i, 0.5 * lu.s * q.x FROM lu JOIN q ON q.i = lu.j) SELECT i AS id, round(sum(x) + 1e-9, 6) AS x FROM a GROUP BY i")
+def simplicial_layer_1(spark, sf):
+    cells = nation_cells(spark, sf, 2)
+    ones = cells.select("g", "rank", C.name("verts").alias("id"), F.lit(1.0).alias("x"))
+    x = {0: cells.where("rank = 0").select("g", C.name("verts").alias("id"), F.element_at("verts", 1).cast("double").alias("x"))}
+    x |= {r: ones.where(f"rank = {r}").select("g", "id", "x") for r in (1, 2)}
+    b = {r: C.incidence(cells, r) for r in (1, 2)}
+    out = B.simplicial_layer(x, b, {r: C.down_laplacian(cells, r) for r in (1, 2)}, {r: C.up_laplacian(cells, r) for r in (0, 1)}, [1.0, 0.5])
+    return out[1].select("id", near(F.col("x")).alias("x"))
+
+
+@query(f"WITH {H}, {PX}, d AS (SELECT v, count(*) AS d FROM H GROUP BY v), m AS (SELECT he, avg(x) AS m, avg(d) AS e FROM H JOIN d USING (v) JOIN x USING (v) GROUP BY he) SELECT v, round(sum(m / sqrt(e)) / sqrt(any_value(d)) + 1e-9, 6) AS x FROM H JOIN m USING (he) JOIN d USING (v) GROUP BY v")
+def unified_hypergraph_pass(spark, sf):
+    return B.unified_hypergraph_pass(T.order_hypergraph(spark, sf), part_sizes(spark, sf)).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
+
+
+@query("WITH h AS (SELECT p_partkey, ('0x' || substr(md5('42-' || p_partkey), 1, 8))::BIGINT / 4294967296.0 AS h FROM part) SELECT p_partkey, CAST(h < 0.5 AS BIGINT) AS train_mask, CAST(h >= 0.5 AND h < 0.75 AS BIGINT) AS val_mask, CAST(h >= 0.75 AS BIGINT) AS test_mask FROM h")
+def split_masks(spark, sf):
+    parts = T.read(spark, sf, "part").select("p_partkey")
+    return V.split_masks(parts, V.random_split(parts, "p_partkey"), "p_partkey")
+
+
+@query("WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS v FROM nation), a AS (SELECT v AS s, v * 3 % 25 AS t FROM n UNION SELECT v, (v * v + 1) % 25 FROM n), r AS (SELECT v AS s, v AS t FROM n UNION SELECT r.s, a.t FROM r JOIN a ON a.s = r.t) "
+       "SELECT x.s AS v, min(x.t) AS component FROM r x JOIN r y ON y.s = x.t AND y.t = x.s GROUP BY x.s")
+def strong_components(spark, sf):
+    v = F.col("v")
+    nodes = T.nations(spark, sf).select(F.lit(0).alias("g"), v.cast("long").alias("v"))
+    arcs = nodes.select("g", v.alias("src"), F.explode(F.array(v * 3 % 25, (v * v + 1) % 25)).alias("dst"))
+    return G.strong_components(nodes, arcs).select("v", "component")
+
+
+@query("WITH p AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT v, list_transform(x, lambda e: e / (greatest(sqrt(list_sum(list_transform(x, lambda q: q * q))), 1.0) * 1.01)) AS x FROM p), m AS (SELECT v, x, list_sum(list_transform(x, lambda q: q * q)) AS s FROM n), "
+       "w AS (SELECT a.v AS a, b.v AS b, 1e-6 + 1 + 2 * power(list_distance(a.x, b.x), 2) / ((1 - a.s) * (1 - b.s)) AS c FROM m a JOIN m b ON a.v <> b.v), d AS (SELECT a, b, ln(c + sqrt(c * c - 1)) AS d FROM w) SELECT a AS v, round(min(d) + 1e-9, 5) AS least, round(max(d) + 1e-9, 5) AS most FROM d GROUP BY a")
+def hyperbolic_distances(spark, sf):
+    d = S.pair_distances(T.points(spark, sf), "hyperbolic").where("a <> b")
+    return d.groupBy(F.col("a").alias("v")).agg(near(F.min("d"), 5).alias("least"), near(F.max("d"), 5).alias("most"))
