@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.components import connected_components
-from cellweave.llm.shingles import runs_of, mix, shingle_sets
+from cellweave.llm.shingles import RUN, mix, runs_of, sets_in_runs, shingle_sets
 from cellweave.storage import materialise
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
@@ -78,9 +79,9 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [t.as_py() or b"" for t in batch.column(1)]
-            for lo, hi in runs_of([len(t) for t in texts]):
-                keys, offsets = shingle_sets(texts[lo:hi], shingle)
+            ids, texts = batch.column(0), batch.column(1)
+            for lo, hi in runs_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                keys, offsets = shingle_sets([texts[k].as_py() or b"" for k in range(lo, hi)], shingle)
                 size = np.diff(offsets)
                 full = np.flatnonzero(size)
                 where = np.concatenate([offsets[full], offsets[-1:]])
@@ -117,14 +118,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             keep = np.zeros(len(a_ids), dtype=bool)
             at = 0
             while at < len(a_ids):
-                end, total, need = at, 0, []
-                while end < len(a_ids) and total < (8 << 20):
+                end, total, need, right = at, 0, [], []
+                while end < len(a_ids) and total < RUN:
                     if a_ids[end] != known[0] and (not need or need[-1][0] != a_ids[end]):
                         need.append((a_ids[end], opened.decompress(pa_[end].as_py())))
                         total += len(need[-1][1])
-                    total += 3000
+                    right.append(opened.decompress(pb_[end].as_py()))
+                    total += len(right[-1])
                     end += 1
-                right = [opened.decompress(pb_[k].as_py()) for k in range(at, end)]
                 keys, offsets = shingle_sets(right, shingle)
                 left_keys, left_offsets = shingle_sets([t for _, t in need], shingle) if need else (None, None)
                 sets = {known[0]: known[1]} | {d: left_keys[left_offsets[k] : left_offsets[k + 1]] for k, (d, _) in enumerate(need)}
@@ -154,7 +155,7 @@ def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """
 
     def links(first: np.ndarray, reps: np.ndarray, component: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
-        keys, offsets = shingle_sets(texts, shingle)
+        keys, offsets = sets_in_runs(texts, shingle)
         size = np.diff(offsets)
         # Shingles of one document only are in no intersection.
         _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -168,11 +169,9 @@ def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             m = np.zeros((len(texts), COLUMNS), dtype=np.float32)
             m[of[part], column[part] - lo] = 1
             both += m @ m.T
-        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        near &= component[:, None] != component[None, :]
-        if not first.all():
-            near &= first[:, None] & ~first[None, :]
-        root = {c: c for c in component.tolist()}
+        # Components by number: a row's near members count once a component, so no list of pairs is held.
+        names, number = np.unique(component, return_inverse=True)
+        root = list(range(len(names)))
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -181,11 +180,16 @@ def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             return c
 
         out = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            x, y = find(int(component[i])), find(int(component[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((int(reps[i]), int(reps[j])))
+        free = np.ones(len(texts), dtype=bool) if first.all() else ~first
+        for i in np.flatnonzero(first).tolist() if not first.all() else range(len(texts)):
+            near = free & (component != component[i]) & (100 * both[i].astype(np.float64) >= percent * (size[i] + size - both[i]))
+            where = np.flatnonzero(near)
+            met, at = np.unique(number[where], return_index=True)
+            for c, j in zip(met.tolist(), where[at].tolist(), strict=True):
+                x, y = find(int(number[i])), find(c)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(reps[i]), int(reps[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,12 +18,14 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers = {"n": 0}
+#: Texts are hashed in runs of about so many bytes; working arrays take some 40 times as much.
+RUN = 1 << 20
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if _powers["n"] < n:
-        m = max(n, 1 << 16)
+        m = max(n, RUN + 1)
         for name, base in (("up", _BASE), ("down", _UNBASE)):
             step = np.full(m, base, dtype=np.uint64)
             step[0] = 1
@@ -89,7 +91,7 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return keys, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def runs_of(sizes: list[int], most: int = 4 << 20):
+def runs_of(sizes: list[int], most: int = RUN):
     """(begin, end) of runs of items of about ``most`` bytes together."""
     begin, total = 0, 0
     for k, n in enumerate(sizes):
@@ -99,3 +101,13 @@ def runs_of(sizes: list[int], most: int = 4 << 20):
         total += n
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def sets_in_runs(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingle_sets`, with working arrays of one run's size."""
+    parts, counts = [], [np.zeros(1, dtype=np.int64)]
+    for lo, hi in runs_of([len(t) for t in texts]):
+        keys, offsets = shingle_sets(texts[lo:hi], size)
+        parts.append(keys)
+        counts.append(np.diff(offsets))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.cumsum(np.concatenate(counts))

@@ -271,3 +271,14 @@ def test_empty_tables(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sets_do_not_depend_on_runs():
+    from cellweave.llm import shingles
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 2, 400, 60_000]))).encode() for _ in range(60)]
+    assert sum(map(len, texts)) > shingles.RUN
+    for got, want in zip(shingles.sets_in_runs(texts, 3), shingles.shingle_sets(texts, 3), strict=True):
+        assert np.array_equal(got, want)
+    assert [len(x) for x in shingles.sets_in_runs([], 3)] == [0, 1]
