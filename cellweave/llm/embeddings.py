@@ -4,8 +4,11 @@ Unit vectors with a cosine of at least ``cosine`` lie within ``d = sqrt(2 - 2 co
 dealt into ``tables`` of coarse cells (``width`` wide in ``coarse`` random projections). In each cell
 they are sorted by one more projection, and a window centred at each vector is scanned along the
 sorted order; for the pairs in a window, the collisions within ``reach`` in ``lines`` projections are
-counted. Pairs that reach the count that a pair at distance ``d`` reaches with probability
-``1 - miss`` are verified by cosine in double precision. A pair is taken by the first table in which
+counted, and pairs that reach a least count are verified by cosine in double precision. The line that
+is sorted is the same in every table, so no table makes up for a pair that its window misses: the
+window's width and the least count share ``miss``, half each, for a pair at distance ``d``. Beside
+that, such a pair shares no cell in any table with a probability of 1.8e-4 at the values below; both
+fall fast with the distance. A pair is taken by the first table in which
 it shares a cell, so links are counted once and pairs never leave their task: a task returns each
 vector's link count and a spanning forest of its links.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +42,16 @@ def _within(distance: float, reach: float) -> float:
     return math.erf(reach / distance / math.sqrt(2))
 
 
-def calibrate(distance: float, lines: int, miss: float) -> tuple[float, int]:
-    """The window's half width, and the count of collisions that a pair at ``distance`` misses with a probability under ``miss``."""
+def calibrate(distance: float, lines: int, miss: float) -> tuple[float, float, int]:
+    """The window's half width, the reach of a collision, and the least count of collisions: a pair at ``distance`` fails the window or the count with a probability of at most ``miss``."""
+    window = -NormalDist().inv_cdf(miss / 4) * distance
     reach = 2 * distance
     p, total = _within(distance, reach), 0.0
     for k in range(lines + 1):
         total += math.comb(lines, k) * p**k * (1 - p) ** (lines - k)
-        if total > miss:
-            return reach, k
-    return reach, lines
+        if total > miss / 2:
+            return window, reach, k
+    return window, reach, lines
 
 
 def cell_share(distance: float, width: float = WIDTH, coarse: int = COARSE) -> float:
@@ -69,7 +74,7 @@ def _cells(unit: np.ndarray, coarse: np.ndarray, shift: np.ndarray) -> np.ndarra
     return code
 
 
-def _links(keys: np.ndarray, block: np.ndarray, unit: np.ndarray, tables: np.ndarray, coarse, shift, lines, reach: float, least: int, cosine: float):
+def _links(keys: np.ndarray, block: np.ndarray, unit: np.ndarray, tables: np.ndarray, coarse, shift, lines, window: float, reach: float, least: int, cosine: float):
     """(i, j) positions of linked pairs: rows of one key, of one block or of two."""
     along = unit @ lines
     order = np.lexsort((along[:, -1], keys))
@@ -82,7 +87,7 @@ def _links(keys: np.ndarray, block: np.ndarray, unit: np.ndarray, tables: np.nda
         step += 1
         active = active[active + step < n]
         other = active + step
-        near = (keys[active] == keys[other]) & (along[other, -1] - along[active, -1] <= reach)
+        near = (keys[active] == keys[other]) & (along[other, -1] - along[active, -1] <= window)
         active = active[near]
         if not len(active):
             break
@@ -120,7 +125,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.col("v").isNotNull() & (F.size("v") == dimension) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     classes = rows.where(sound & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distance = math.sqrt(2 - 2 * cosine)
-    reach, least = calibrate(distance, LINES, MISS)
+    window, reach, least = calibrate(distance, LINES, MISS)
     made = _projections(dimension)
 
     def normal(column: pa.Array) -> np.ndarray:
@@ -175,7 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             x = x / np.abs(x).max(axis=1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             key, t, block, rep, copies = (table.column(c).to_numpy() for c in ("key", "t", "block", "rep", "copies"))
-            i, j = _links(key, block, unit, t, *made, reach, least, cosine)
+            i, j = _links(key, block, unit, t, *made, window, reach, least, cosine)
             if not len(i):
                 return
             ends, of = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)

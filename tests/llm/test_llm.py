@@ -149,6 +149,22 @@ def test_embeddings(spark):
     assert got[2000]["component_id"] == 5
 
 
+def test_embeddings_near_the_threshold(spark):
+    from cellweave.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((2000, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.96, (2000, 1))
+    planted = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted)], "vec_id long, embedding array<float>"))
+    missed = got.where("n_links = 0").count() / 2
+    assert missed <= 3, missed
+
+
 def test_language(spark):
     from cellweave.llm.language import keep_decided, learn, predict
 
