@@ -6,6 +6,8 @@ results on a rounding boundary agree. Vertex sets are written as text, vertices
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,8 @@ ORACLES: dict[str, str] = {}
 H = "H AS (SELECT DISTINCT l_partkey AS v, l_orderkey AS he FROM lineitem)"
 E = H + ", E AS (SELECT DISTINCT a.v AS u, b.v AS v FROM H a JOIN H b ON a.he = b.he AND a.v < b.v)"
 H3 = H + ", HS AS (SELECT h.* FROM H h JOIN (SELECT he FROM H GROUP BY he HAVING count(*) <= 3) s USING (he))"
+#: In place of H3: all orders.
+HW = H + ", HS AS (SELECT * FROM H)"
 E3 = H3 + ", E AS (SELECT DISTINCT a.v AS u, b.v AS v FROM HS a JOIN HS b ON a.he = b.he AND a.v < b.v)"
 N = "E AS (SELECT CAST(a.n_nationkey AS BIGINT) AS u, CAST(b.n_nationkey AS BIGINT) AS v FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
 U = ", U AS (SELECT u AS s, v AS t FROM E UNION ALL SELECT v, u FROM E)"
@@ -45,11 +49,17 @@ B3 = f", B3 AS (SELECT b || '-' || c || '-' || d AS i, {KN} AS j, 1 AS s FROM K
 PARTS = "SELECT p_partkey AS v FROM part"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, whole: Callable[[str], str | None] = lambda sql: sql):
+    """Registers a query; one with a parameter ``whole`` again as ``NAME_whole``, over all orders, with the SQL of all orders (where ``whole`` leaves one)."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
+        if "whole" in inspect.signature(f).parameters:
+            QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
+            if sql and (every := whole(sql.replace(H3, HW))):
+                ORACLES[f"{f.__name__}_whole"] = every
         return f
 
     return add
@@ -71,8 +81,8 @@ def nation_cells(spark: SparkSession, sf: str, dim: int = 3) -> DataFrame:
     return S.clique_complex(T.nations(spark, sf), T.nation_graph(spark, sf), dim)
 
 
-def sparse_cells(spark: SparkSession, sf: str, dim: int = 2) -> DataFrame:
-    return S.clique_complex(T.parts(spark, sf), T.sparse_graph(spark, sf), dim)
+def sparse_cells(spark: SparkSession, sf: str, dim: int = 2, whole: bool = False) -> DataFrame:
+    return S.clique_complex(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), dim)
 
 
 # --- sources, graph primitives
@@ -89,13 +99,13 @@ def clique_expansion_edges(spark, sf):
 
 
 @query(f"WITH {E3}{U} SELECT s AS src, t AS dst FROM U")
-def to_undirected(spark, sf):
-    return G.to_undirected(T.sparse_graph(spark, sf)).select("src", "dst")
+def to_undirected(spark, sf, whole=False):
+    return G.to_undirected(T.sparse_graph(spark, sf, whole)).select("src", "dst")
 
 
 @query(f"WITH {E3}{U} SELECT p_partkey AS v FROM part WHERE p_partkey NOT IN (SELECT s FROM U)")
-def isolated_nodes(spark, sf):
-    return G.isolated(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v")
+def isolated_nodes(spark, sf, whole=False):
+    return G.isolated(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)).select("v")
 
 
 @query(f"WITH {E}{U} SELECT p.v, CAST(count(U.s) AS BIGINT) AS degree FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v")
@@ -103,9 +113,11 @@ def node_degrees(spark, sf):
     return G.degrees(T.parts(spark, sf), T.purchase_graph(spark, sf)).select("v", "degree")
 
 
-@query(f"WITH {E3}{U}, d AS (SELECT p.v, count(U.s) AS degree FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v) SELECT v, CAST(k AS BIGINT) AS k FROM d, range(0, 41) r(k) WHERE k = degree")
-def one_hot_degree(spark, sf):
-    hot = G.degrees(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v", X.one_hot(F.col("degree"), 40).alias("x"))
+@query(f"WITH {E3}{U}, d AS (SELECT p.v, count(U.s) AS degree FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v) SELECT v, CAST(k AS BIGINT) AS k FROM d, range(0, 41) r(k) WHERE k = degree", lambda sql: sql.replace("range(0, 41)", "range(0, (SELECT max(degree) + 1 FROM d))"))
+def one_hot_degree(spark, sf, whole=False):
+    degrees = G.degrees(T.parts(spark, sf), T.sparse_graph(spark, sf, whole))
+    width = (degrees.agg(F.max("degree")).first()[0] or 0) if whole else 40
+    hot = degrees.select("v", X.one_hot(F.col("degree"), width).alias("x"))
     return hot.select("v", F.posexplode("x").alias("k", "x")).where("x = 1").select("v", F.col("k").cast("long").alias("k"))
 
 
@@ -130,18 +142,18 @@ def tetrahedra_nation(spark, sf):
 
 
 @query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U")
-def khop_1(spark, sf):
-    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf), 1).select("centre", "v")
+def khop_1(spark, sf, whole=False):
+    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 1).select("centre", "v")
 
 
 @query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s")
-def khop_2(spark, sf):
-    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("centre", "v")
+def khop_2(spark, sf, whole=False):
+    return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2).select("centre", "v")
 
 
 @query(f"WITH {E3}{U}, d2 AS (SELECT p.v AS c, p.v AS v, 0 AS d FROM ({PARTS}) p UNION ALL SELECT s, t, 1 FROM U UNION ALL SELECT a.s, b.t, 2 FROM U a JOIN U b ON a.t = b.s) SELECT c AS centre, v, CAST(min(d) AS INTEGER) AS d FROM d2 GROUP BY c, v")
-def bfs_distance_2(spark, sf):
-    return G.distances(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("centre", "v", "d")
+def bfs_distance_2(spark, sf, whole=False):
+    return G.distances(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2).select("centre", "v", "d")
 
 
 CC = "r(v, root) AS (SELECT v, v FROM nodes UNION SELECT U.t, r.root FROM r JOIN U ON U.s = r.v), c AS (SELECT v, min(root) AS component FROM r GROUP BY v)"
@@ -158,29 +170,29 @@ def largest_component(spark, sf):
 
 
 @query(f"WITH {E3}{U}{TRI}, d AS (SELECT p.v, count(U.s) AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM T UNION ALL SELECT b FROM T UNION ALL SELECT c FROM T) GROUP BY v) SELECT d.v, round(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0 END + 1e-9, 6) AS clustering FROM d LEFT JOIN k USING (v)")
-def clustering_coefficient(spark, sf):
-    return G.clustering(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("v", near(F.col("clustering")).alias("clustering"))
+def clustering_coefficient(spark, sf, whole=False):
+    return G.clustering(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)).select("v", near(F.col("clustering")).alias("clustering"))
 
 
 @query(f"WITH RECURSIVE {E3}{U}, d AS (SELECT p.v, count(U.s) AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), n AS (SELECT count(*) AS n FROM d), s1 AS (SELECT d.v, d, 1.0 / n AS r FROM d, n), "
        "s2 AS (SELECT s1.v, s1.d, 0.15 / n + 0.85 * (coalesce(w, 0) + (SELECT coalesce(sum(r), 0) FROM s1 WHERE d = 0) / n) AS r FROM s1 CROSS JOIN n LEFT JOIN (SELECT t, sum(r / d) AS w FROM U JOIN s1 ON s1.v = U.s GROUP BY t) q ON q.t = s1.v), "
        "s3 AS (SELECT s2.v, 0.15 / n + 0.85 * (coalesce(w, 0) + (SELECT coalesce(sum(r), 0) FROM s2 WHERE d = 0) / n) AS r FROM s2 CROSS JOIN n LEFT JOIN (SELECT t, sum(r / d) AS w FROM U JOIN s2 ON s2.v = U.s GROUP BY t) q ON q.t = s2.v) "
        "SELECT v, round(r + 1e-9, 8) AS rank FROM s3")
-def pagerank_2(spark, sf):
-    return G.pagerank(T.parts(spark, sf), T.sparse_graph(spark, sf), 2).select("v", near(F.col("rank"), 8).alias("rank"))
+def pagerank_2(spark, sf, whole=False):
+    return G.pagerank(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2).select("v", near(F.col("rank"), 8).alias("rank"))
 
 
 # --- connectivity algebra
 
 
 @query(f"WITH {E3}{B1} SELECT i, j, CAST(s AS BIGINT) AS val FROM B1")
-def incidence_1_signed(spark, sf):
-    return matrix(C.incidence(sparse_cells(spark, sf, 1), 1))
+def incidence_1_signed(spark, sf, whole=False):
+    return matrix(C.incidence(sparse_cells(spark, sf, 1, whole=whole), 1))
 
 
 @query(f"WITH {E3}{TRI}{B2} SELECT i, j, CAST(s AS BIGINT) AS val FROM B2")
-def incidence_2_signed(spark, sf):
-    return matrix(C.incidence(sparse_cells(spark, sf), 2))
+def incidence_2_signed(spark, sf, whole=False):
+    return matrix(C.incidence(sparse_cells(spark, sf, whole=whole), 2))
 
 
 @query(f"WITH {N}{TET}{B3} SELECT i, j, CAST(s AS BIGINT) AS val FROM B3")
@@ -189,18 +201,18 @@ def incidence_3_nation(spark, sf):
 
 
 @query(f"WITH {E3}{B1} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
-def up_laplacian_0(spark, sf):
-    return matrix(C.up_laplacian(sparse_cells(spark, sf, 1), 0))
+def up_laplacian_0(spark, sf, whole=False):
+    return matrix(C.up_laplacian(sparse_cells(spark, sf, 1, whole=whole), 0))
 
 
 @query(f"WITH {E3}{B1} SELECT x.j AS i, y.j AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
-def down_laplacian_1(spark, sf):
-    return matrix(C.down_laplacian(sparse_cells(spark, sf, 1), 1))
+def down_laplacian_1(spark, sf, whole=False):
+    return matrix(C.down_laplacian(sparse_cells(spark, sf, 1, whole=whole), 1))
 
 
 @query(f"WITH {E3}{TRI}{B2} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B2 x JOIN B2 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
-def up_laplacian_1(spark, sf):
-    return matrix(C.up_laplacian(sparse_cells(spark, sf), 1))
+def up_laplacian_1(spark, sf, whole=False):
+    return matrix(C.up_laplacian(sparse_cells(spark, sf, whole=whole), 1))
 
 
 @query(f"WITH {N}{TRI}{B1}{B2}, z AS (SELECT x.i AS i, y.i AS j, x.s * y.s AS s FROM B2 x JOIN B2 y ON x.j = y.j UNION ALL SELECT x.j, y.j, x.s * y.s FROM B1 x JOIN B1 y ON x.i = y.i) SELECT i, j, CAST(sum(s) AS BIGINT) AS val FROM z GROUP BY 1, 2 HAVING sum(s) <> 0")
@@ -209,23 +221,23 @@ def hodge_laplacian_1(spark, sf):
 
 
 @query(f"WITH {E3}{B1} SELECT DISTINCT x.i, y.i AS j, CAST(1 AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.j = y.j AND x.i <> y.i")
-def adjacency_0(spark, sf):
-    return matrix(C.adjacency(sparse_cells(spark, sf, 1), 0))
+def adjacency_0(spark, sf, whole=False):
+    return matrix(C.adjacency(sparse_cells(spark, sf, 1, whole=whole), 0))
 
 
 @query(f"WITH {E3}{B1} SELECT DISTINCT x.j AS i, y.j AS j, CAST(1 AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i AND x.j <> y.j")
-def coadjacency_1(spark, sf):
-    return matrix(C.coadjacency(sparse_cells(spark, sf, 1), 1))
+def coadjacency_1(spark, sf, whole=False):
+    return matrix(C.coadjacency(sparse_cells(spark, sf, 1, whole=whole), 1))
 
 
 @query(f"WITH {E3}{TRI}, m AS (SELECT a AS v, {TN} AS t FROM T UNION ALL SELECT b, {TN} FROM T UNION ALL SELECT c, {TN} FROM T) SELECT DISTINCT CAST(x.v AS VARCHAR) AS i, CAST(y.v AS VARCHAR) AS j, CAST(1 AS BIGINT) AS val FROM m x JOIN m y ON x.t = y.t AND x.v <> y.v")
-def nbhd_2_up_adjacency_0(spark, sf):
-    return matrix(C.neighbourhood(sparse_cells(spark, sf), "2-up_adjacency-0"))
+def nbhd_2_up_adjacency_0(spark, sf, whole=False):
+    return matrix(C.neighbourhood(sparse_cells(spark, sf, whole=whole), "2-up_adjacency-0"))
 
 
 @query(f"WITH {E3}{TRI}, m AS (SELECT a AS v, {TN} AS t FROM T UNION ALL SELECT b, {TN} FROM T UNION ALL SELECT c, {TN} FROM T) SELECT CAST(v AS VARCHAR) AS i, t AS j, CAST(1 AS BIGINT) AS val FROM m")
-def nbhd_2_down_incidence_2(spark, sf):
-    return matrix(C.neighbourhood(sparse_cells(spark, sf), "2-down_incidence-2"))
+def nbhd_2_down_incidence_2(spark, sf, whole=False):
+    return matrix(C.neighbourhood(sparse_cells(spark, sf, whole=whole), "2-down_incidence-2"))
 
 
 @query(f"WITH {N}{TRI} SELECT {EN} AS i, {TN} AS j, CAST(1 AS BIGINT) AS val FROM E, T WHERE list_has_all([a, b, c], [u, v])")
@@ -234,8 +246,8 @@ def combinatorial_incidence(spark, sf):
 
 
 @query(f"WITH {E3}{TRI} SELECT (SELECT count(*) FROM part) AS n_0, (SELECT count(*) FROM E) AS n_1, (SELECT count(*) FROM T) AS n_2")
-def cell_statistics(spark, sf):
-    return C.cell_statistics(sparse_cells(spark, sf), 2).select("n_0", "n_1", "n_2")
+def cell_statistics(spark, sf, whole=False):
+    return C.cell_statistics(sparse_cells(spark, sf, whole=whole), 2).select("n_0", "n_1", "n_2")
 
 
 # --- feature liftings
@@ -260,8 +272,8 @@ def projection_sum_2(spark, sf):
 
 
 @query(f"WITH {E3}, {PX} SELECT (u || '-' || E.v) AS id, p.x + q.x AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
-def projection_sum_incidence(spark, sf):
-    b = C.incidence(sparse_cells(spark, sf, 1), 1)
+def projection_sum_incidence(spark, sf, whole=False):
+    b = C.incidence(sparse_cells(spark, sf, 1, whole=whole), 1)
     x = part_sizes(spark, sf).withColumn("id", F.col("id").cast("string"))
     return X.projection_sum(b, x).select("id", F.col("x").cast("long").alias("x"))
 
@@ -281,8 +293,8 @@ def concatenation_1(spark, sf):
 
 
 @query(f"WITH {E3}{TRI} SELECT {TN} AS id, {TN} AS verts FROM T")
-def set_lifting_2(spark, sf):
-    cells = sparse_cells(spark, sf)
+def set_lifting_2(spark, sf, whole=False):
+    cells = sparse_cells(spark, sf, whole=whole)
     sets = cells.where("rank = 1").select("g", C.name("verts").alias("id"), "verts")
     return names(X.set_lifting(C.incidence(cells, 2), sets))
 
@@ -297,8 +309,8 @@ def standardize(spark, sf):
 
 
 @query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s), p AS (SELECT U.s, t, 1.0 / d AS p FROM U JOIN d USING (s)), q AS (SELECT a.s, b.t, sum(a.p * b.p) AS p FROM p a JOIN p b ON a.t = b.s GROUP BY 1, 2), r AS (SELECT a.s, b.t, sum(a.p * b.p) AS p FROM q a JOIN p b ON a.t = b.s AND b.t = a.s GROUP BY 1, 2) SELECT CAST(2 AS INTEGER) AS k, s AS v, round(p + 1e-9, 6) AS p FROM q WHERE s = t UNION ALL SELECT 3, s, round(p + 1e-9, 6) FROM r WHERE s = t")
-def rwse_k3(spark, sf):
-    return P.random_walk(T.sparse_graph(spark, sf), 3).select("k", "v", near(F.col("p")).alias("p"))
+def rwse_k3(spark, sf, whole=False):
+    return P.random_walk(T.sparse_graph(spark, sf, whole), 3).select("k", "v", near(F.col("p")).alias("p"))
 
 
 DEG = f"{B1}{B2}{B3}, d0 AS (SELECT i, count(*) AS d FROM B1 GROUP BY i), d1 AS (SELECT i, count(*) AS d FROM B2 GROUP BY i), d2 AS (SELECT i, count(*) AS d FROM B3 GROUP BY i), c1 AS (SELECT e.j AS id, 4 - sum(d0.d) + 3 * coalesce(any_value(d1.d), 0) AS x FROM B1 e JOIN d0 USING (i) LEFT JOIN d1 ON d1.i = e.j GROUP BY e.j)"
@@ -364,8 +376,8 @@ def mp_homophily_step1(spark, sf):
 
 
 @query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s) SELECT u, E.v, CAST(4 - p.d - q.d AS BIGINT) AS frc FROM E JOIN d p ON p.s = u JOIN d q ON q.s = E.v")
-def forman_ricci_edges(spark, sf):
-    return S.forman_ricci(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("u", "v", "frc")
+def forman_ricci_edges(spark, sf, whole=False):
+    return S.forman_ricci(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)).select("u", "v", "frc")
 
 
 @query(f"WITH RECURSIVE {N}, d AS (SELECT u, v, 4 - 4 - 4 + (u % 3) AS frc FROM E), cut AS (SELECT quantile_cont(frc, 0.5) AS c FROM d), F AS (SELECT u, v FROM d, cut WHERE frc <= c), U AS (SELECT u AS s, v AS t FROM F UNION ALL SELECT v, u FROM F), nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS v FROM nation), {CC} SELECT v, component AS he FROM c")
@@ -376,23 +388,23 @@ def forman_ricci_hyperedges(spark, sf):
 
 
 @query(f"WITH {E3}{U}, s AS (SELECT p.v AS c, p.v FROM ({PARTS}) p UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s), k AS (SELECT c, v FROM s WHERE (c, v) NOT IN (SELECT s, t FROM U)) SELECT c AS centre, string_agg(v, '-' ORDER BY v) AS verts FROM k GROUP BY c")
-def neighborhood_complex_sets(spark, sf):
-    return names(S.neighbourhood_complex_sets(T.parts(spark, sf), T.sparse_graph(spark, sf)))
+def neighborhood_complex_sets(spark, sf, whole=False):
+    return names(S.neighbourhood_complex_sets(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)))
 
 
 @query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E) SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e")
-def line_graph_edges(spark, sf):
-    return S.line_graph(T.sparse_graph(spark, sf)).select("u", "v")
+def line_graph_edges(spark, sf, whole=False):
+    return S.line_graph(T.sparse_graph(spark, sf, whole)).select("u", "v")
 
 
 @query(f"WITH {E3}{U}, w AS (SELECT list_sort([b.s, a.s, b.t]) AS x FROM U a JOIN U b ON a.t = b.s AND b.t <> a.s) SELECT DISTINCT array_to_string(x, '-') AS verts FROM w")
-def graph_induced_2(spark, sf):
-    return names(S.connected_subsets(T.sparse_graph(spark, sf), 3))
+def graph_induced_2(spark, sf, whole=False):
+    return names(S.connected_subsets(T.sparse_graph(spark, sf, whole), 3))
 
 
 @query(f"WITH {E3}{U}, b AS (SELECT p.v AS c, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U) SELECT DISTINCT x.v || '-' || y.v || '-' || z.v AS verts FROM b x JOIN b y ON x.c = y.c AND x.v < y.v JOIN b z ON z.c = x.c AND y.v < z.v")
-def khop_simplices(spark, sf):
-    return names(S.neighbourhood_simplices(T.parts(spark, sf), T.sparse_graph(spark, sf), 2))
+def khop_simplices(spark, sf, whole=False):
+    return names(S.neighbourhood_simplices(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2))
 
 
 @query(f"WITH {N}{TRI} SELECT {TN} AS verts FROM T")
@@ -415,9 +427,9 @@ INS = "J AS (SELECT x.he AS a, y.he AS b FROM HS x JOIN HS y ON x.v = y.v AND x.
 
 
 @query(f"WITH {H3}, {HU}, {INS}, r1 AS (SELECT S.he, n, CASE WHEN n = 1 THEN 0 ELSE 1 END AS r FROM S), r2 AS (SELECT r1.he, greatest(r, coalesce(max(q.r0) + 1, 0)) AS r FROM r1 LEFT JOIN (SELECT J.b, r1.r AS r0 FROM J JOIN r1 ON r1.he = J.a) q ON q.b = r1.he GROUP BY r1.he, r), "
-       "r3 AS (SELECT r2.he, greatest(r, coalesce(max(q.r0) + 1, 0)) AS r FROM r2 LEFT JOIN (SELECT J.b, r2.r AS r0 FROM J JOIN r2 ON r2.he = J.a) q ON q.b = r2.he GROUP BY r2.he, r) SELECT he, CAST(r AS INTEGER) AS rank FROM r3")
-def universal_strict_rank(spark, sf):
-    return S.universal_strict_rank(T.small_orders(spark, sf)).select("he", "rank")
+       "r3 AS (SELECT r2.he, greatest(r, coalesce(max(q.r0) + 1, 0)) AS r FROM r2 LEFT JOIN (SELECT J.b, r2.r AS r0 FROM J JOIN r2 ON r2.he = J.a) q ON q.b = r2.he GROUP BY r2.he, r) SELECT he, CAST(r AS INTEGER) AS rank FROM r3", lambda sql: None)
+def universal_strict_rank(spark, sf, whole=False):
+    return S.universal_strict_rank(T.small_orders(spark, sf, whole)).select("he", "rank")
 
 
 @query()
@@ -440,14 +452,14 @@ def mapper_cover(spark, sf):
 
 
 @query()
-def mapper_clusters(spark, sf):
+def mapper_clusters(spark, sf, whole=False):
     f = T.read(spark, sf, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("v"), F.col("p_retailprice").alias("f"))
-    return S.mapper_clusters(S.mapper_cover(f), T.sparse_graph(spark, sf)).select("v", "bin", "cluster")
+    return S.mapper_clusters(S.mapper_cover(f), T.sparse_graph(spark, sf, whole)).select("v", "bin", "cluster")
 
 
 @query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s), m AS (SELECT count(*) AS m FROM E) SELECT u, E.v, round(1 - p.d * q.d / (2.0 * m) + 1e-9, 6) AS b FROM E JOIN d p ON p.s = u JOIN d q ON q.s = E.v, m")
-def modularity_matrix(spark, sf):
-    return S.modularity_matrix(T.parts(spark, sf), T.sparse_graph(spark, sf)).select("u", "v", near(F.col("b")).alias("b"))
+def modularity_matrix(spark, sf, whole=False):
+    return S.modularity_matrix(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)).select("u", "v", near(F.col("b")).alias("b"))
 
 
 @query()
@@ -585,8 +597,8 @@ def timer_stats(spark, sf):
 
 
 @query(f"WITH {E3}{U}, d AS (SELECT p.v, count(U.s) + 1 AS d FROM ({PARTS}) p LEFT JOIN U ON U.s = p.v GROUP BY p.v), a AS (SELECT s, t FROM U UNION ALL SELECT v, v FROM d), {PX} SELECT s AS v, round(sum(x.x / sqrt(p.d * q.d)) + 1e-9, 6) AS x FROM a JOIN d p ON p.v = s JOIN d q ON q.v = t JOIN x ON x.v = t GROUP BY s")
-def gcn_propagation(spark, sf):
-    op = M.normalised_adjacency(T.parts(spark, sf), T.sparse_graph(spark, sf))
+def gcn_propagation(spark, sf, whole=False):
+    op = M.normalised_adjacency(T.parts(spark, sf), T.sparse_graph(spark, sf, whole))
     return M.propagate(op, part_sizes(spark, sf)).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
 
 
@@ -596,8 +608,8 @@ def hypergraph_mean_pass(spark, sf):
 
 
 @query(f"WITH {E3}{TRI}, m AS (SELECT a AS v FROM T UNION ALL SELECT b FROM T UNION ALL SELECT c FROM T) SELECT CAST(v AS VARCHAR) AS v, CAST(2 * count(*) AS BIGINT) AS x FROM m GROUP BY v")
-def signal_down(spark, sf):
-    cells = sparse_cells(spark, sf)
+def signal_down(spark, sf, whole=False):
+    cells = sparse_cells(spark, sf, whole=whole)
     ones = cells.where("rank = 2").select("g", C.name("verts").alias("id"), F.lit(1).alias("x"))
     return M.signal_down([C.incidence(cells, 2), C.incidence(cells, 1)], ones).select(F.col("id").alias("v"), F.col("x").cast("long").alias("x"))
 
@@ -631,13 +643,13 @@ def laplacian_pe(spark, sf):
 
 
 @query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E), l AS (SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e) SELECT a.u || '-' || a.v || '-' || b.v AS verts FROM l a JOIN l b ON a.v = b.u JOIN l c ON c.u = a.u AND c.v = b.v")
-def line_lifting_triangles(spark, sf):
-    return names(Z.line_simplices(T.sparse_graph(spark, sf), 3))
+def line_lifting_triangles(spark, sf, whole=False):
+    return names(Z.line_simplices(T.sparse_graph(spark, sf, whole), 3))
 
 
 @query(f"WITH {E3}, {PX} SELECT (u || '-' || E.v) AS id, round((p.x + q.x) / 2.0 + 1e-9, 6) AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
-def line_lifting_features(spark, sf):
-    return Z.line_features(T.sparse_graph(spark, sf), part_sizes(spark, sf)).select("id", near(F.col("x")).alias("x"))
+def line_lifting_features(spark, sf, whole=False):
+    return Z.line_features(T.sparse_graph(spark, sf, whole), part_sizes(spark, sf)).select("id", near(F.col("x")).alias("x"))
 
 
 def nation_points(spark, sf):
@@ -700,8 +712,8 @@ def class_homophily(spark, sf):
 
 
 @query(f"WITH {E3}{U}, d AS (SELECT s, count(*) AS d FROM U GROUP BY s) SELECT CAST(s AS VARCHAR) AS i, CAST(s AS VARCHAR) AS j, CAST(0.5 AS DOUBLE) AS val FROM d UNION ALL SELECT CAST(U.s AS VARCHAR), CAST(U.t AS VARCHAR), round(0.5 / sqrt(p.d * q.d) + 1e-9, 6) FROM U JOIN d p ON p.s = U.s JOIN d q ON q.s = U.t")
-def normalised_laplacian_0(spark, sf):
-    out = M.normalised_laplacian(C.up_laplacian(sparse_cells(spark, sf, 1), 0))
+def normalised_laplacian_0(spark, sf, whole=False):
+    out = M.normalised_laplacian(C.up_laplacian(sparse_cells(spark, sf, 1, whole=whole), 0))
     return out.select(F.col("row").alias("i"), F.col("col").alias("j"), near(F.col("val")).alias("val"))
 
 
@@ -770,29 +782,29 @@ def neighbour_sql(agg: str) -> str:
     return f"WITH {E3}{U}, {FX}, m AS (SELECT U.t AS v, {agg}(f.a) AS a, {agg}(f.b) AS b FROM U JOIN f ON f.v = U.s GROUP BY U.t) SELECT f.v, round(f.a + coalesce(m.a, 0) + 1e-9, 6) AS a, round(f.b + coalesce(m.b, 0) + 1e-9, 6) AS b FROM f LEFT JOIN m ON m.v = f.v"
 
 
-def neighbours(spark, sf, how):
-    return pairs_out(B.neighbour_pass(G.to_undirected(T.sparse_graph(spark, sf)), part_pairs(spark, sf), how))
+def neighbours(spark, sf, how, whole=False):
+    return pairs_out(B.neighbour_pass(G.to_undirected(T.sparse_graph(spark, sf, whole)), part_pairs(spark, sf), how))
 
 
 @query(neighbour_sql("sum"))
-def neighbour_sum(spark, sf):
-    return neighbours(spark, sf, "sum")
+def neighbour_sum(spark, sf, whole=False):
+    return neighbours(spark, sf, "sum", whole)
 
 
 @query(neighbour_sql("avg"))
-def neighbour_mean(spark, sf):
-    return neighbours(spark, sf, "mean")
+def neighbour_mean(spark, sf, whole=False):
+    return neighbours(spark, sf, "mean", whole)
 
 
 @query(neighbour_sql("max"))
-def neighbour_max(spark, sf):
-    return neighbours(spark, sf, "max")
+def neighbour_max(spark, sf, whole=False):
+    return neighbours(spark, sf, "max", whole)
 
 
 @query(f"WITH {E3}{U}, {FX}, r AS (SELECT s, t FROM U UNION ALL SELECT v, v FROM f), z AS (SELECT r.t, p.a, p.b, 0.5 * p.a + p.b - 2.0 * q.a + 0.5 * q.b AS s FROM r JOIN f p ON p.v = r.s JOIN f q ON q.v = r.t), "
        "w AS (SELECT t, a, b, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) AS w FROM z) SELECT t AS v, round(sum(w * a) / sum(w) + 1e-9, 6) AS a, round(sum(w * b) / sum(w) + 1e-9, 6) AS b FROM w GROUP BY t")
-def attention_pass(spark, sf):
-    return pairs_out(B.attention_pass(G.to_undirected(T.sparse_graph(spark, sf)), part_pairs(spark, sf), [0.5, 1.0], [-2.0, 0.5]))
+def attention_pass(spark, sf, whole=False):
+    return pairs_out(B.attention_pass(G.to_undirected(T.sparse_graph(spark, sf, whole)), part_pairs(spark, sf), [0.5, 1.0], [-2.0, 0.5]))
 
 
 WS = "exp(CASE WHEN 2.0 * a - b > 0 THEN 2.0 * a - b ELSE 0.2 * (2.0 * a - b) END)"
@@ -811,23 +823,23 @@ def linear_attention(spark, sf):
     return pairs_out(B.linear_attention(rows))
 
 
-def restriction_maps(spark, sf):
+def restriction_maps(spark, sf, whole=False):
     one = F.lit(1.0)
     u, v = F.col("u"), F.col("v")
-    return T.sparse_graph(spark, sf).select("g", "u", "v", F.array(one + (u + v) % 3, one).alias("fu"), F.array(one, one - 2 * (u * v % 2)).alias("fv"))
+    return T.sparse_graph(spark, sf, whole).select("g", "u", "v", F.array(one + (u + v) % 3, one).alias("fu"), F.array(one, one - 2 * (u * v % 2)).alias("fv"))
 
 
 @query(f"WITH {E3}, m AS (SELECT u, v, 0 AS k, 1.0 + (u + v) % 3 AS p, 1.0 AS q FROM E UNION ALL SELECT u, v, 1, 1.0, 1.0 - 2 * (u * v % 2) FROM E), l AS (SELECT k, u AS i, u AS j, p * p AS x FROM m UNION ALL SELECT k, v, v, q * q FROM m UNION ALL SELECT k, u, v, -p * q FROM m UNION ALL SELECT k, v, u, -p * q FROM m), "
        "w AS (SELECT k, i, j, CAST(sum(x) AS DOUBLE) AS x FROM l GROUP BY k, i, j), d AS (SELECT k, i, x FROM w WHERE i = j) SELECT w.k AS stalk, w.i, w.j, round(w.x / sqrt(p.x * q.x) + 1e-9, 6) AS val FROM w JOIN d p ON p.k = w.k AND p.i = w.i JOIN d q ON q.k = w.k AND q.i = w.j")
-def sheaf_laplacian(spark, sf):
-    return B.sheaf_laplacian(restriction_maps(spark, sf)).select("stalk", F.col("row").alias("i"), F.col("col").alias("j"), near(F.col("val")).alias("val"))
+def sheaf_laplacian(spark, sf, whole=False):
+    return B.sheaf_laplacian(restriction_maps(spark, sf, whole)).select("stalk", F.col("row").alias("i"), F.col("col").alias("j"), near(F.col("val")).alias("val"))
 
 
 @query(f"WITH {E3}{U}, {PX}, l AS (SELECT s AS i, s AS j, CAST(count(*) AS DOUBLE) AS a FROM U GROUP BY s UNION ALL SELECT s, t, -1.0 FROM U), y AS (SELECT i AS v, sum(a * x) AS x FROM l JOIN x ON x.v = l.j GROUP BY i), z AS (SELECT i AS v, sum(a * x) AS x FROM l JOIN y ON y.v = l.j GROUP BY i) "
        "SELECT CAST(x.v AS VARCHAR) AS v, round(x.x + 0.5 * coalesce(y.x, 0) + 0.25 * coalesce(z.x, 0) + 1e-9, 6) AS x FROM x LEFT JOIN y ON y.v = x.v LEFT JOIN z ON z.v = x.v")
-def laplacian_polynomial(spark, sf):
+def laplacian_polynomial(spark, sf, whole=False):
     x = part_sizes(spark, sf).withColumn("id", F.col("id").cast("string"))
-    return B.polynomial(C.up_laplacian(sparse_cells(spark, sf, 1), 0), x, [1, 0.5, 0.25]).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
+    return B.polynomial(C.up_laplacian(sparse_cells(spark, sf, 1, whole=whole), 0), x, [1, 0.5, 0.25]).select(F.col("id").alias("v"), near(F.col("x")).alias("x"))
 
 
 @query(f"WITH {N}{TRI}{B1}{B2}, ld AS (SELECT a.j AS i, b.j, sum(a.s * b.s) AS s FROM B1 a JOIN B1 b ON a.i = b.i GROUP BY 1, 2), lu AS (SELECT a.i, b.i AS j, sum(a.s * b.s) AS s FROM B2 a JOIN B2 b ON a.j = b.j GROUP BY 1, 2), "

@@ -18,9 +18,11 @@ def order_hypergraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.lit(0).alias("g"), F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("he")).distinct()
 
 
-def small_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hypergraph of orders with at most three distinct parts: a sparse one."""
+def small_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The hypergraph of orders with at most three distinct parts: a sparse one. With ``whole``, of all orders."""
     h = order_hypergraph(spark, sf_dir)
+    if whole:
+        return h
     few = h.groupBy("g", "he").agg(F.count(F.lit(1)).alias("n")).where("n <= 3")
     return h.join(few.select("g", "he"), ["g", "he"], "left_semi")
 
@@ -33,8 +35,8 @@ def purchase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clique_expansion(order_hypergraph(spark, sf_dir))
 
 
-def sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.clique_expansion(small_orders(spark, sf_dir))
+def sparse_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return G.clique_expansion(small_orders(spark, sf_dir, whole))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:

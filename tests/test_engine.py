@@ -82,3 +82,24 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_over_all_orders(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    orders = [{0, 1, 2, 3, 4}, {0, 1}, {0, 1, 2}, {0, 1, 2, 3}, {5}, {4, 6}]
+    spark.createDataFrame([(k, v) for k, o in enumerate(orders) for v in o], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(v,) for v in range(8)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    arcs = {(a, b) for o in orders for a in o for b in o if a != b}
+    to = {v: {b for a, b in arcs if a == v} for v in range(8)}
+    rank = [1 / 8] * 8
+    for _ in range(2):
+        loose = sum(rank[v] for v in range(8) if not to[v])
+        rank = [0.15 / 8 + 0.85 * (sum(rank[u] / len(to[u]) for u in to[v]) + loose / 8) for v in range(8)]
+    near = {v: [(a, b) for a in to[v] for b in to[v] if a < b] for v in to}
+    want = {
+        "to_undirected": arcs, "isolated_nodes": {(5,), (7,)}, "one_hot_degree": {(v, len(to[v])) for v in to}, "khop_1": arcs | {(v, v) for v in to}, "universal_strict_rank": {(0, 4), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1)},
+        "clustering_coefficient": {(v, round(sum(p in arcs for p in near[v]) / len(near[v]), 6) if near[v] else 0.0) for v in to}, "pagerank_2": {(v, round(rank[v] + 1e-9, 8)) for v in to},
+    }
+    for name, rows in want.items():
+        assert {tuple(r) for r in entry.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()} == rows, name
