@@ -5,9 +5,8 @@ path of structural tags (inline tags form no path). Over the paths of the page,
 punctuation per block are aggregated; both ratios are laid out in page order, smoothed with a
 Gaussian, and fused as a product with the share of text outside links. Blocks over the threshold
 (a share of the fused values' spread) seed the content; the content node is the deepest element
-that holds ``SHARE`` of the seeds' text, and all its blocks are kept, except those under elements that
-say by tag, role, class or id that they are menus, headers, footers, adverts, notices, forms or
-comments.
+that holds all seeds, and all its blocks are kept, except those under elements that say by tag,
+role, class or id that they are menus, headers, footers, adverts, notices, forms or comments.
 
 Text: character references decoded, white space runs inside a block as one space, blocks in page
 order joined by one newline; nothing is capped. Null, empty and text-less pages give ''. Unclosed
@@ -45,7 +44,6 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table t
 
 SIGMA = 1.0
 THRESHOLD = 0.3
-SHARE = 0.9
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[A-Za-z][^>]*>", re.S)
 _attribute = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -172,22 +170,14 @@ def main_text(page: str | None) -> str:
     fused = [t * (1 + p) * (1 - linked[b[1]] / length[b[1]]) for t, p, b in zip(text_ratio, point_ratio, clean, strict=True)]
     mean = sum(fused) / len(fused)
     least = THRESHOLD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    seeds = [(b, len(b[3])) for b, f in zip(clean, fused, strict=True) if f >= least and f > 0]
+    seeds = [b for b, f in zip(clean, fused, strict=True) if f >= least and f > 0]
     if not seeds:
         return ""
-    # The deepest element that holds nearly all of the seeds' text.
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for b, n in seeds:
-        for k, element in enumerate(b[0]):
-            held[element] = held.get(element, 0) + n
-            depth[element] = k + 1
-    total = sum(n for _, n in seeds)
-    most = max((e for e in held if held[e] >= SHARE * total), key=depth.__getitem__, default=None)
-    if most is None:
+    # The deepest element that holds all seeds; the first and the last element numbers differ where any do.
+    ids, last, path = min(b[0] for b in seeds), max(b[0] for b in seeds), min(seeds)[1]
+    k = next((k for k, (x, y) in enumerate(zip(ids, last, strict=False)) if x != y), min(len(ids), len(last))) - 1
+    if k < 0:
         return "\n".join(b[3] for b in clean)
-    ids, path = next((b[0], b[1]) for b, _ in seeds if most in b[0])
-    k = ids.index(most)
     # A paragraph, list or table is no content node: the element around it is.
     while k > 0 and path[k] in LEAVES:
         k -= 1

@@ -268,6 +268,16 @@ def test_main_text(spark):
         assert got[i] == want
 
 
+def test_main_text_keeps_short_sections():
+    from cellweave.llm.extract import main_text
+
+    title, lead, end = "A title of the page", "The lead, " * 11 + "ends here.", "Last, a short section with a line or two, then no more."
+    body = [f"Paragraph {k}: " + "long, long text with points. " * 20 for k in range(10)]
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>{title}</h1><div class=lead>{p([lead])}</div><div class=body>{p(body)}</div><div class=end>{p([end])}</div></article></body></html>"
+    assert main_text(page) == "\n".join(t.strip() for t in [title, lead, *body, end])
+
+
 def test_empty_tables(spark):
     from cellweave.llm import queries  # noqa: F401
     from cellweave.llm.chat import format_chats
