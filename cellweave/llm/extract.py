@@ -6,7 +6,10 @@ punctuation per block are aggregated; both ratios are laid out in page order, sm
 Gaussian, and fused as a product with the share of text outside links. Blocks over the threshold
 (a share of the fused values' spread) seed the content; the content node is the deepest element
 that holds all seeds, and all its blocks are kept, except those under elements that say by tag,
-role, class or id that they are menus, headers, footers, adverts, notices, forms or comments.
+role, class or id that they are menus, headers, footers, adverts, notices, forms or comments. A class
+or id says so by the last word of a token, words of layout aside, unless a negation or "has" or "with"
+stands before it; an element that holds most of the page's unlinked text outside other noise is kept
+whatever its class or id, unless an article or main outside it has text.
 
 Text: character references decoded, white space runs inside a block as one space, blocks in page
 order joined by one newline; nothing is capped. Null, empty and text-less pages give ''. Unclosed
@@ -39,6 +42,9 @@ NOISE_WORDS = frozenset(
     "sidebar widget widgets related recommended share sharing social comment comments commentlist disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs pager pagination "
     "footer header masthead popup modal overlay disclaimer legal copyright login search toolbar".split()
 )
+#: Words of a class or id that name a box or a place, and words that turn the next one into a property of the page.
+LAYOUT_WORDS = frozenset("area bar block bottom box button buttons col column container content div group holder inner item items left links list main outer panel placeholder posts right row section slot top unit wrap wrapper zone".split())
+BEFORE_WORDS = frozenset("has hide hides no non not with without".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table tbody thead tr td th figure figcaption".split())
 
@@ -54,26 +60,38 @@ _hides = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _points = re.compile(r"[.,;:!?…。，！？¿¡]")
 
 
-def _noisy(tag: str, attributes: str) -> bool:
+def _names_noise(value: str) -> bool:
+    for token in value.split():
+        words = [w for w in _split.split(_camel.sub("-", token).lower()) if w]
+        while len(words) > 1 and words[-1] in LAYOUT_WORDS:
+            words.pop()
+        if words and words[-1] in NOISE_WORDS and not (len(words) > 1 and words[-2] in BEFORE_WORDS):
+            return True
+    return False
+
+
+def _noisy(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is noise by tag, role or hiding, and whether its class or id names noise."""
     if tag in NOISE_TAGS:
-        return True
+        return True, False
     if not attributes or tag in CONTENT_TAGS:
-        return False
+        return False, False
+    named = False
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(_split.split(_camel.sub("-", value).lower())):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _hides.search(value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            named = named or _names_noise(value)
+        elif name == "role" and value.lower() in NOISE_ROLES:
+            return True, named
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _hides.search(value)):
+            return True, named
+    return False, named
 
 
 def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str, int]]:
     """(element numbers, tag path, under noise, text, length of linked text) of every block in page order."""
     out: list = []
-    stack: list[tuple[str, int, bool]] = []  # structural elements that are open
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # structural elements that are open: tag, number, under noise, elements named noise
     links, made, text, linked = 0, 0, [], 0
     at, end = 0, len(page)
 
@@ -81,7 +99,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str,
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            out.append((tuple(e[1] for e in stack), tuple(e[0] for e in stack), bool(stack) and stack[-1][2], joined, min(linked, len(joined))))
+            out.append((tuple(e[1] for e in stack), tuple(e[0] for e in stack), stack[-1][2:] if stack else (False, ()), joined, min(linked, len(joined))))
         text.clear()
         linked = 0
 
@@ -135,12 +153,31 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str,
             if tag in SAME:
                 close(SAME[tag], BOUNDARY - {tag})
             made += 1
-            noisy = (bool(stack) and stack[-1][2]) or _noisy(tag, m[3])
+            noisy, named = _noisy(tag, m[3])
+            under = stack[-1][3] if stack else ()
             if not m[3].endswith("/"):
-                stack.append((tag, made, noisy))
+                stack.append((tag, made, noisy or (bool(stack) and stack[-1][2]), (*under, made) if named else under))
             links = 0
     flush()
-    return out
+    # What a class or id says does not hold against most of the page's unlinked text,
+    # unless an article or main outside it has text of its own.
+    held: dict[int, int] = {}
+    marked: dict[int, int] = {}
+    inside: set[int] = set()  # elements that are themselves in an article or main
+    total = told = 0
+    for numbers, path, (noisy, under), joined, in_links in out:
+        if not noisy:
+            n = len(joined) - in_links
+            top = next((k for k, tag in enumerate(path) if tag in ("article", "main")), len(path))
+            in_article = n if top < len(path) else 0
+            total, told = total + n, told + in_article
+            for element in under:
+                held[element] = held.get(element, 0) + n
+                marked[element] = marked.get(element, 0) + in_article
+                if element > (numbers[top] if in_article else math.inf):
+                    inside.add(element)
+    cut = {e for e in held if 2 * held[e] <= total or (e not in inside and marked[e] < told)}
+    return [(numbers, path, noisy or not cut.isdisjoint(under), joined, in_links) for numbers, path, (noisy, under), joined, in_links in out]
 
 
 def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:

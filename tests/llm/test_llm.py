@@ -278,6 +278,20 @@ def test_main_text_keeps_short_sections():
     assert main_text(page) == "\n".join(t.strip() for t in [title, lead, *body, end])
 
 
+@pytest.mark.parametrize("wrapper", ["class='content no-sidebar'", "class='page with-sidebar'", "class=has-header", "class=search-result", "id='legal-news'", "class=sidebar-right"])
+def test_main_text_is_not_cut_by_layout_words(wrapper):
+    from cellweave.llm.extract import main_text
+
+    texts = [f"Paragraph {k} of the text, with points and words enough to count." for k in range(4)]
+    noise = "".join(f"<div {c}><p>Noise, noise and noise again, in a box.</p></div>" for c in ("class=sidebar", "id=comments-area", "class='site-footer'", "class='ad-slot'", "class='x cookieNotice'"))
+    assert main_text(f"<body><div {wrapper}>{''.join(f'<p>{t}</p>' for t in texts)}</div>{noise}</body>") == "\n".join(texts)
+    inner = f"<body><article><h1>{texts[0]}</h1><div {wrapper}>{''.join(f'<p>{t}</p>' for t in texts[1:])}</div></article><div class=ad><p>{'An advert, longer than the text. ' * 20}</p></div></body>"
+    assert "advert" not in main_text(inner)
+    assert main_text(inner.replace("<div class=ad>", "<div class=ad hidden>")) == "\n".join(texts)
+    short = f"<body><div><p>{texts[0]}</p><p>{texts[1]}</p></div><div class='content no-sidebar'><p>{texts[2]}</p></div></body>"
+    assert main_text(short) == "\n".join(texts[:3])
+
+
 def test_empty_tables(spark):
     from cellweave.llm import queries  # noqa: F401
     from cellweave.llm.chat import format_chats
