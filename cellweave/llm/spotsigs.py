@@ -3,9 +3,10 @@
 A signature is an anchor with the next ``CHAIN`` content words after it; a fingerprint is the set of
 a text's signatures, as 32-bit hashes in ascending order (hex digits, 8 a signature). Anchors are
 frequent function words of several languages and, so that texts without them have fingerprints too,
-one of every ``RARE`` words by its hash. Texts of under ``SHORT`` code points also get their letter
-grams. Likeness is the
-Jaccard similarity of two fingerprints; :func:`jaccard` prunes by set sizes before it intersects.
+one of every ``RARE`` words by its hash. Where a text has fewer than ``ENOUGH`` distinct chains, a
+sample of its letter grams makes up for what they lack: grams are taken by their hash, in the share of
+the lack in the number of grams, so that the features change gradually with the text, and texts
+that are nearly equal sample nearly the same grams. Likeness is the Jaccard similarity of two fingerprints; :func:`jaccard` prunes by set sizes before it intersects.
 
 Null and empty texts have empty fingerprints; the likeness of two empty ones is 1 (equal texts), of
 one empty one 0. Rows with a null ``doc_id`` sort first. Repeated ids sort by text. An empty table
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.shingles import mix, runs_of, word_hashes
 
-CHAIN, RARE, SHORT, GRAM = 2, 8, 200, 4
+CHAIN, RARE, ENOUGH, GRAM = 2, 8, 200, 4
+_rng = np.random.default_rng(20260301)
+_GRAM = _rng.integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Function words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "the a an of to and in is was be for on that it with as at by this from or are not "
@@ -42,6 +45,29 @@ def _words(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _DROP)
 
 
+def _grams(texts: list[str], owner: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Keys (owner, code) of about ``most`` distinct letter grams of each text, or of all if they are fewer."""
+    letters = ["".join(t.lower().split()) for t in texts]
+    data = np.frombuffer("".join(x + "\0" * GRAM for x in letters).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = np.array([len(x) for x in letters])
+    count = np.maximum(size - GRAM + 1, 1)
+    of = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(of)) + np.repeat(np.cumsum(size + GRAM) - (size + GRAM) - (np.cumsum(count) - count), count)
+    codes = np.zeros(len(at), dtype=np.uint64)
+    for k in range(GRAM):
+        codes += data[at + k] * _GRAM[k]
+    codes = mix(codes)
+    # The upper half of a hash is its code, the lower half decides whether it is taken.
+    order = np.lexsort((codes, of))
+    codes, of = codes[order], of[order]
+    fresh = np.ones(len(codes), dtype=bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
+    codes, of = codes[fresh], of[fresh]
+    share = most / np.bincount(of, minlength=len(texts))
+    taken = (codes & np.uint64(0xFFFFFFFF)).astype(np.float64) < share[of] * 2.0**32
+    return (owner[of[taken]].astype(np.uint64) << np.uint64(32)) | (codes[taken] >> np.uint64(32))
+
+
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct 32-bit signature hashes of each text."""
     words, owner = word_hashes([_words(t) for t in texts])
@@ -55,15 +81,11 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     follow, of, codes = follow[whole], owner[spots][whole], words[spots][whole]
     for k in range(CHAIN):
         codes = mix(codes * np.uint64(0xD6E8FEB86659FD93) + content[follow + k])
-    extra, extra_of = [], []
-    for k, text in enumerate(texts):
-        if 0 < len(text) < SHORT:
-            letters = "".join(text.lower().split())
-            grams = {letters[i : i + GRAM] for i in range(max(1, len(letters) - GRAM + 1))}
-            extra += [int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for g in grams]
-            extra_of += [k] * len(grams)
-    codes, of = np.concatenate([codes, np.array(extra, dtype=np.uint64)]), np.concatenate([of, np.array(extra_of, dtype=np.int64)])
     keys = np.unique((of.astype(np.uint64) << np.uint64(32)) | (codes >> np.uint64(32)))
+    lack = ENOUGH - np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    poor = [k for k, text in enumerate(texts) if text and lack[k] > 0]
+    if poor:
+        keys = np.unique(np.concatenate([keys, _grams([texts[k] for k in poor], np.array(poor), lack[poor])]))
     cuts = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     codes = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return [codes[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

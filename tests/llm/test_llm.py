@@ -229,6 +229,19 @@ def test_spot_signatures(docs, plain):
         assert got[d]["near_next"] == jaccard(decode(got[d]["fingerprint"]), decode(got[order[(k + 1) % len(order)]]["fingerprint"]))
 
 
+def test_spot_signatures_have_no_length_border():
+    from cellweave.llm.spotsigs import fingerprints, jaccard
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9)))
+    for n in (100, 190, 199, 205, 300, 600, 1500, 5000):
+        text = " ".join(word() for _ in range(n))[:n]
+        other = " ".join(word() for _ in range(n))[:n]
+        x, y, z, w = fingerprints([text, text[:-5], text + " abc d", other])
+        assert min(jaccard(x, y), jaccard(x, z), jaccard(y, z)) >= 0.8 and jaccard(x, w) < 0.2, n
+    assert [len(x) for x in fingerprints(["", "ab", " ", "x" * 3000])] == [0, 1, 1, 1]
+
+
 def test_pieces(spark, docs, plain):
     import public_tokenizers
     import sentencepiece
