@@ -33,11 +33,18 @@ def _rows(turns: DataFrame) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of the conversations that prefix no other."""
     hashed = _rows(turns).select("conv_id", "turn", "role", "text", _turn_hash().alias("h"))
-    # Ties of a turn are ordered as in rendering; long texts are compared by their first characters, then by hash.
+    # Lists hold the first characters of texts; conversations where those do not order a turn are listed again with whole texts.
     key = F.struct("turn", "role", F.substring("text", 1, 64).alias("head"), "h")
     lists = hashed.groupBy("conv_id").agg(F.array_sort(F.collect_list(key)).alias("t"))
+    tied = F.expr("exists(zip_with(t, slice(t, 2, size(t)), (x, y) -> y IS NOT NULL AND x.turn <=> y.turn AND x.role = y.role AND x.head = y.head AND x.h <> y.h), z -> z)")
     rolled = F.expr("aggregate(t, cast(array() as array<string>), (acc, x) -> concat(acc, array(sha2(concat(if(size(acc) = 0, '', element_at(acc, -1)), x.h), 256))))")
-    rolling = materialise(lists.select("conv_id", rolled.alias("p")).select("conv_id", F.size("p").alias("n_turns"), F.element_at("p", -1).alias("own"), F.expr("slice(p, 1, size(p) - 1)").alias("before")), "turn-hashes")
+    prefixes = [F.size("p").alias("n_turns"), F.element_at("p", -1).alias("own"), F.expr("slice(p, 1, size(p) - 1)").alias("before")]
+    rolling = materialise(lists.select("conv_id", rolled.alias("p"), tied.alias("tied")).select("conv_id", "tied", *prefixes), "turn-hashes")
+    again = materialise(rolling.where("tied").select("conv_id"), "tied-turns")
+    rolling = rolling.where("NOT tied").drop("tied")
+    if not again.isEmpty():
+        lists = hashed.join(again, "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "h"))).alias("t"))
+        rolling = rolling.unionByName(materialise(lists.select("conv_id", rolled.alias("p")).select("conv_id", *prefixes), "turn-hashes"))
     first = rolling.groupBy("own").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
     longer = rolling.select(F.explode("before").alias("own")).distinct()
     return first.join(longer, "own", "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"))
@@ -46,6 +53,6 @@ def maximal(turns: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of the maximal conversations, each turn between role and end markers."""
     kept = maximal(turns)
-    key = F.struct("turn", "role", F.substring("text", 1, 64).alias("head"), _turn_hash().alias("h"), "text")
+    key = F.struct("turn", "role", "text")
     lists = _rows(turns).join(kept, "conv_id").groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.array_sort(F.collect_list(key)).alias("t"))
     return lists.select("conv_id", "n_turns", F.expr("array_join(transform(t, x -> concat('<|', x.role, '|>\\n', x.text, '<|end|>')), '\\n')").alias("rendered"))

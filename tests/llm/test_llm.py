@@ -266,6 +266,15 @@ def test_chat(spark):
     assert set(got) == {2, 4, 5, 6} and got[2] == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>"
 
 
+def test_chat_orders_ties_by_whole_texts(spark):
+    from cellweave.llm.chat import format_chats
+
+    texts = ["same beginning " * 8 + x for x in "abcdefgh"]
+    turns = [(1, 0, "user", t) for t in reversed(texts)] + [(2, 0, "user", t) for t in texts[:3]] + [(3, 0, "user", "short")]
+    got = {r["conv_id"]: r["rendered"] for r in format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: "\n".join(f"<|user|>\n{t}<|end|>" for t in texts), 3: "<|user|>\nshort<|end|>"}
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><div class='post'><h1>T &amp; t</h1><p>One two,  three. <b>Four</b><p>Five &lt;six&gt;.<ul><li>seven<li>eight</ul></div><div class=sidebar>ad</div><div id='comments'><p>Nice, really nice post. I liked it.</p></div><footer>(c)</footer></body></html>", "T & t\nOne two, three. Four\nFive <six>.\nseven\neight"),
     (None, ""), ("", ""), ("<script>var x='<p>no</p>'</script>", ""), ("plain text, no tags.", "plain text, no tags."), ("<p>unclosed <i>inline, text", "unclosed inline, text"), ("<article><p>a<br>b.</p><!-- <p>c</p> --></article>", "a b."),
