@@ -13,19 +13,22 @@ it shares a cell, so links are counted once and pairs never leave their task: a
 vector's link count and a spanning forest of its links.
 
 Cells of more than ``split`` rows are cut into blocks, and each pair of blocks is a group of its own.
-Equal vectors are one class with a multiplicity. Null or zero vectors and those with null, non-finite
-components or of another length than most link with nothing. Rows with a null ``vec_id`` come back
+Equal vectors are one class with a multiplicity. Vectors of different lengths never link; each length
+has its own projections and its own cells. Null or zero vectors and those with null or non-finite
+components link with nothing. Rows with a null ``vec_id`` come back
 unlinked; repeated ids count as several vectors under one id.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,7 @@ def cell_share(distance: float, width: float = WIDTH, coarse: int = COARSE) -> f
     return (1 - math.erfc(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))) ** coarse
 
 
+@functools.lru_cache(maxsize=4)
 def _projections(dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(104729)
     return rng.standard_normal((dimension, TABLES * COARSE)), rng.uniform(0, WIDTH, TABLES * COARSE), rng.standard_normal((dimension, LINES + 1))
@@ -120,32 +124,32 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    top = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dimension = top["n"] if top else 1
-    sound = F.col("v").isNotNull() & (F.size("v") == dimension) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     classes = rows.where(sound & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distance = math.sqrt(2 - 2 * cosine)
     window, reach, least = calibrate(distance, LINES, MISS)
-    made = _projections(dimension)
 
-    def normal(column: pa.Array) -> np.ndarray:
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
+    def by_length(table, column: str) -> Iterator[tuple]:
+        """(length, rows of that length); the rows keep their order."""
+        sizes = pc.list_value_length(table.column(column)).to_numpy()
+        for n in np.unique(sizes).tolist():
+            yield n, table.filter(pa.array(sizes == n))
+
+    def normal(column: pa.Array, dimension: int) -> np.ndarray:
         x = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dimension)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                unit = normal(part.column("v"))
-                if not len(unit):
-                    continue
-                code = _cells(unit, made[0], made[1]).view(np.int64)
-                n = len(unit)
-                take = pa.array(np.repeat(np.arange(n), TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(code.ravel()), part.column("rep").take(take)], names=["t", "cell", "rep"])
+            for dimension, rows_of in by_length(batch, "v"):
+                coarse, shift, _ = _projections(dimension)
+                for lo in range(0, rows_of.num_rows, 1024):
+                    part = rows_of.slice(lo, 1024)
+                    code = mix(_cells(normal(part.column("v"), dimension), coarse, shift) + np.uint64(dimension)).view(np.int64)
+                    n = len(code)
+                    take = pa.array(np.repeat(np.arange(n), TABLES))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(code.ravel()), part.column("rep").take(take)], names=["t", "cell", "rep"])
 
     dealt = materialise(classes, "vector-classes")
     cells = materialise(dealt.select("rep", "v").mapInArrow(deal, "t int, cell long, rep long"), "cells")
@@ -170,8 +174,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             return x
 
         def settle(table: pa.Table) -> None:
-            if table.num_rows < 2:
-                return
+            for dimension, part in by_length(table, "f"):
+                if part.num_rows > 1:
+                    settle_length(part, dimension)
+
+        def settle_length(table: pa.Table, dimension: int) -> None:
             f, exact = table.column("f").combine_chunks(), table.column("exact").combine_chunks()
             x = np.asarray(f.flatten(), dtype=np.float64).reshape(-1, dimension)
             if exact.null_count < len(exact):
@@ -180,7 +187,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             x = x / np.abs(x).max(axis=1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             key, t, block, rep, copies = (table.column(c).to_numpy() for c in ("key", "t", "block", "rep", "copies"))
-            i, j = _links(key, block, unit, t, *made, window, reach, least, cosine)
+            i, j = _links(key, block, unit, t, *_projections(dimension), window, reach, least, cosine)
             if not len(i):
                 return
             ends, of = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)

@@ -165,6 +165,21 @@ def test_embeddings_near_the_threshold(spark):
     assert missed <= 3, missed
 
 
+def test_embeddings_of_several_lengths(spark):
+    from cellweave.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for n, copies in ((64, 9), (16, 5), (3, 2), (1, 4)):
+        x = rng.standard_normal(n)
+        x[0] = 1 + abs(x[0])
+        at = len(rows)
+        rows += [(at + k, (x if k < 2 else x * (1 + 1e-3 * rng.standard_normal(n))).tolist()) for k in range(copies)]
+        want |= {at + k: (copies - 1, at, k == 0) for k in range(copies)}
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
+
+
 def test_language(spark):
     from cellweave.llm.language import keep_decided, learn, predict
 
