@@ -6,7 +6,10 @@ frequent function words of several languages and, so that texts without them hav
 one of every ``RARE`` words by its hash. Where a text has fewer than ``ENOUGH`` distinct chains, a
 sample of its letter grams makes up for what they lack: grams are taken by their hash, in the share of
 the lack in the number of grams, so that the features change gradually with the text, and texts
-that are nearly equal sample nearly the same grams. Likeness is the Jaccard similarity of two fingerprints; :func:`jaccard` prunes by set sizes before it intersects.
+that are nearly equal sample nearly the same grams. Likeness is the Jaccard similarity of two fingerprints. The query needs each row's likeness to two
+given texts only, so the method's search for similar pairs (partitions by set size, of which neighbours
+are compared) is not part of it: :func:`size_partition` and the pruning of :func:`jaccard` are for
+callers that search.
 
 Null and empty texts have empty fingerprints; the likeness of two empty ones is 1 (equal texts), of
 one empty one 0. Rows with a null ``doc_id`` sort first. Repeated ids sort by text. An empty table

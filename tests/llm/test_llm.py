@@ -257,6 +257,17 @@ def test_spot_signatures_have_no_length_border():
     assert [len(x) for x in fingerprints(["", "ab", " ", "x" * 3000])] == [0, 1, 1, 1]
 
 
+def test_size_partitions_and_pruning():
+    from cellweave.llm.spotsigs import jaccard, size_partition
+
+    rng = random.Random(6)
+    for _ in range(300):
+        x, y = (np.array(sorted(rng.sample(range(60), rng.randint(1, 60))), dtype=np.uint32) for _ in range(2))
+        likeness = len(set(x) & set(y)) / len(set(x) | set(y))
+        assert jaccard(x, y) == likeness and jaccard(x, y, 0.5) in ((likeness,) if likeness >= 0.5 else (likeness, 0.0))
+        assert likeness < 0.5 or abs(size_partition(len(x), 0.5) - size_partition(len(y), 0.5)) <= 1
+
+
 def test_pieces(spark, docs, plain):
     import public_tokenizers
     import sentencepiece
