@@ -1,8 +1,8 @@
 """Chat formatting: collapse of cumulative snapshots, then rendering, in DataFrame functions only.
 
 A conversation that was logged again and again as it grew leaves rows of which shorter ones prefix
-longer ones. Each conversation gets one rolling hash per turn (the hash of the hash before it and
-the turn's own); the last of them is its own hash. A conversation whose hash is a proper turn-prefix
+longer ones. Each conversation gets one rolling hash per turn (of 128 bits, over all turns up to it);
+the last of them is its own hash. A conversation whose hash is a proper turn-prefix
 hash of another is dropped by an anti-join, and of equal conversations the one with the least id
 stays. Hashes are aggregated before anything is joined, so common first turns and copies make no
 large groups; texts are read again only to render what stays.
@@ -14,7 +14,7 @@ out. Repeated rows are repeated turns. An empty table gives no rows; extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.storage import materialise
@@ -31,23 +31,20 @@ def _rows(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that prefix no other."""
-    hashed = _rows(turns).select("conv_id", "turn", "role", "text", _turn_hash().alias("h"))
-    # Lists hold the first characters of texts; conversations where those do not order a turn are listed again with whole texts.
-    key = F.struct("turn", "role", F.substring("text", 1, 64).alias("head"), "h")
-    lists = hashed.groupBy("conv_id").agg(F.array_sort(F.collect_list(key)).alias("t"))
-    tied = F.expr("exists(zip_with(t, slice(t, 2, size(t)), (x, y) -> y IS NOT NULL AND x.turn <=> y.turn AND x.role = y.role AND x.head = y.head AND x.h <> y.h), z -> z)")
-    rolled = F.expr("aggregate(t, cast(array() as array<string>), (acc, x) -> concat(acc, array(sha2(concat(if(size(acc) = 0, '', element_at(acc, -1)), x.h), 256))))")
-    prefixes = [F.size("p").alias("n_turns"), F.element_at("p", -1).alias("own"), F.expr("slice(p, 1, size(p) - 1)").alias("before")]
-    rolling = materialise(lists.select("conv_id", rolled.alias("p"), tied.alias("tied")).select("conv_id", "tied", *prefixes), "turn-hashes")
-    again = materialise(rolling.where("tied").select("conv_id"), "tied-turns")
-    rolling = rolling.where("NOT tied").drop("tied")
-    if not again.isEmpty():
-        lists = hashed.join(again, "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "h"))).alias("t"))
-        rolling = rolling.unionByName(materialise(lists.select("conv_id", rolled.alias("p")).select("conv_id", *prefixes), "turn-hashes"))
-    first = rolling.groupBy("own").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
-    longer = rolling.select(F.explode("before").alias("own")).distinct()
-    return first.join(longer, "own", "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"))
+    """(conv_id, n_turns) of the conversations that prefix no other.
+
+    A prefix's hash is the exclusive or of its turns' hashes, each with its place in the conversation;
+    a window sum that spills, so no conversation is held in memory.
+    """
+    placed = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = placed.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _rows(turns).withColumn("h", _turn_hash()).withColumn("k", F.row_number().over(placed))
+    rolling = [F.bit_xor(F.xxhash64(F.lit(seed), "k", "h")).over(so_far).alias(f"p{seed}") for seed in (1, 2)]
+    last = F.lead("k").over(placed).isNull().alias("last")
+    rolled = materialise(rows.select("conv_id", "k", last, *rolling), "turn-hashes")
+    first = rolled.where("last").groupBy("p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.first("k").alias("n_turns"))
+    longer = rolled.where("NOT last").select("p1", "p2").distinct()
+    return first.join(longer, ["p1", "p2"], "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

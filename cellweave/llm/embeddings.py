@@ -1,14 +1,15 @@
 """Near-duplicate embeddings by collision counting over sorted one-dimensional projections.
 
 Unit vectors with a cosine of at least ``cosine`` lie within ``d = sqrt(2 - 2 cosine)``. Vectors are
-dealt into ``tables`` of coarse cells (``width`` wide in ``coarse`` random projections). In each cell
-they are sorted by one more projection, and a window centred at each vector is scanned along the
-sorted order; for the pairs in a window, the collisions within ``reach`` in ``lines`` projections are
-counted, and pairs that reach a least count are verified by cosine in double precision. The line that
-is sorted is the same in every table, so no table makes up for a pair that its window misses: the
-window's width and the least count share ``miss``, half each, for a pair at distance ``d``. Beside
-that, such a pair shares no cell in any table with a probability of 1.8e-4 at the values below; both
-fall fast with the distance. A pair is taken by the first table in which
+dealt into ``tables`` of coarse cells (``width`` wide in ``coarse`` random projections), which bound the
+length of what is sorted. Each cell is sorted along ``sorted_lines`` of ``lines`` one-dimensional
+projections in turn; on each, the window within ``reach`` of every vector is scanned, and a pair that
+collides there is counted over all lines, once, at the first sorted line on which it collides. Pairs that reach a
+least count are verified by cosine in double precision. The lines are the same in every table, so no
+table makes up for a pair that they miss: a pair at distance ``d`` that collides on no sorted line, or on
+fewer lines than the least count, has a probability of at most ``miss``. Beside that, such a pair
+shares no cell in any table with a probability of 1.8e-4 at the values below; both fall fast with the
+distance. A pair is taken by the first table in which
 it shares a cell, so links are counted once and pairs never leave their task: a task returns each
 vector's link count and a spanning forest of its links.
 
@@ -37,7 +38,7 @@ from cellweave.llm.shingles import mix
 from cellweave.storage import materialise
 
 COSINE = 0.95
-TABLES, COARSE, WIDTH, LINES, MISS, SPLIT = 48, 8, 1.25, 16, 2e-4, 4096
+TABLES, COARSE, WIDTH, LINES, SORTED, MISS, SPLIT = 48, 8, 1.25, 16, 4, 2e-4, 4096
 
 
 def _within(distance: float, reach: float) -> float:
@@ -45,16 +46,16 @@ def _within(distance: float, reach: float) -> float:
     return math.erf(reach / distance / math.sqrt(2))
 
 
-def calibrate(distance: float, lines: int, miss: float) -> tuple[float, float, int]:
-    """The window's half width, the reach of a collision, and the least count of collisions: a pair at ``distance`` fails the window or the count with a probability of at most ``miss``."""
-    window = -NormalDist().inv_cdf(miss / 4) * distance
+def calibrate(distance: float, lines: int, sorted_lines: int, miss: float) -> tuple[float, int]:
+    """The reach of a collision and the least count: a pair at ``distance`` collides on no sorted line or on fewer lines with a probability of at most ``miss``."""
     reach = 2 * distance
-    p, total = _within(distance, reach), 0.0
+    p = _within(distance, reach)
+    total = (1 - p) ** sorted_lines
     for k in range(lines + 1):
         total += math.comb(lines, k) * p**k * (1 - p) ** (lines - k)
-        if total > miss / 2:
-            return window, reach, k
-    return window, reach, lines
+        if total > miss:
+            return reach, k
+    return reach, lines
 
 
 def cell_share(distance: float, width: float = WIDTH, coarse: int = COARSE) -> float:
@@ -66,7 +67,7 @@ def cell_share(distance: float, width: float = WIDTH, coarse: int = COARSE) -> f
 @functools.lru_cache(maxsize=4)
 def _projections(dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(104729)
-    return rng.standard_normal((dimension, TABLES * COARSE)), rng.uniform(0, WIDTH, TABLES * COARSE), rng.standard_normal((dimension, LINES + 1))
+    return rng.standard_normal((dimension, TABLES * COARSE)), rng.uniform(0, WIDTH, TABLES * COARSE), rng.standard_normal((dimension, LINES))
 
 
 def _cells(unit: np.ndarray, coarse: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -78,35 +79,37 @@ def _cells(unit: np.ndarray, coarse: np.ndarray, shift: np.ndarray) -> np.ndarra
     return code
 
 
-def _links(keys: np.ndarray, block: np.ndarray, unit: np.ndarray, tables: np.ndarray, coarse, shift, lines, window: float, reach: float, least: int, cosine: float):
+def _links(keys: np.ndarray, block: np.ndarray, unit: np.ndarray, tables: np.ndarray, coarse, shift, lines, reach: float, least: int, cosine: float):
     """(i, j) positions of linked pairs: rows of one key, of one block or of two."""
-    along = unit @ lines
-    order = np.lexsort((along[:, -1], keys))
-    keys, along, position = keys[order], along[order], order
-    block = block[order]
-    n, active, found = len(keys), np.arange(len(keys)), []
-    # A key's blocks are 0 (one block against itself) or 1 and 2 (one against the other).
-    step = 0
-    while len(active):
-        step += 1
-        active = active[active + step < n]
-        other = active + step
-        near = (keys[active] == keys[other]) & (along[other, -1] - along[active, -1] <= window)
-        active = active[near]
-        if not len(active):
-            break
-        i, j = active, active + step
-        mixed = (block[i] == 0) | (block[i] != block[j])
-        i, j = i[mixed], j[mixed]
-        if not len(i):
-            continue
-        count = (np.abs(along[i, :-1] - along[j, :-1]) <= reach).sum(axis=1)
-        i, j = i[count >= least], j[count >= least]
-        if not len(i):
-            continue
-        close = np.einsum("ij,ij->i", unit[position[i]], unit[position[j]]) >= cosine
-        if close.any():
-            found.append((position[i[close]], position[j[close]]))
+    projected = unit @ lines
+    found = []
+    for line in range(SORTED):
+        position = np.lexsort((projected[:, line], keys))
+        key, along, side = keys[position], projected[position], block[position]
+        n, active = len(key), np.arange(len(key))
+        # A key's blocks are 0 (one block against itself) or 1 and 2 (one against the other).
+        step = 0
+        while len(active):
+            step += 1
+            active = active[active + step < n]
+            other = active + step
+            active = active[(key[active] == key[other]) & (along[other, line] - along[active, line] <= reach)]
+            if not len(active):
+                break
+            i, j = active, active + step
+            mixed = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[mixed], j[mixed]
+            if not len(i):
+                continue
+            met = np.abs(along[i] - along[j]) <= reach
+            # A pair that met on an earlier sorted line is counted there.
+            new = (met.sum(axis=1) >= least) & ~met[:, :line].any(axis=1)
+            i, j = position[i[new]], position[j[new]]
+            if not len(i):
+                continue
+            close = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+            if close.any():
+                found.append((i[close], j[close]))
     if not found:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -127,7 +130,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     classes = rows.where(sound & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distance = math.sqrt(2 - 2 * cosine)
-    window, reach, least = calibrate(distance, LINES, MISS)
+    reach, least = calibrate(distance, LINES, SORTED, MISS)
 
     def by_length(table, column: str) -> Iterator[tuple]:
         """(length, rows of that length); the rows keep their order."""
@@ -187,7 +190,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             x = x / np.abs(x).max(axis=1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             key, t, block, rep, copies = (table.column(c).to_numpy() for c in ("key", "t", "block", "rep", "copies"))
-            i, j = _links(key, block, unit, t, *_projections(dimension), window, reach, least, cosine)
+            i, j = _links(key, block, unit, t, *_projections(dimension), reach, least, cosine)
             if not len(i):
                 return
             ends, of = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)

@@ -1,7 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
 A dictionary holds raw text of one language, from a bounded hash-ordered sample of the labelled
-training rows (``docs_per_language`` texts, ``dictionary_bytes`` bytes). A text is cut into chunks,
+training rows (``docs_per_language`` texts, ``dictionary_bytes`` bytes; the driver holds no more than
+that for each language). A text is cut into chunks,
 so that it never learns from itself, and each chunk is compressed with every dictionary; the
 language with the smallest total wins (at a tie, the one with more training rows). ``score`` is the share of bytes saved against the second
 language; a document is ``rejected`` when that margin is under ``min_margin`` or it has no letters.
@@ -56,16 +57,19 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, dictionar
     if not ids:
         return {}
     texts: dict[str, list[tuple]] = {}
-    for r in rows.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, dictionary_bytes).alias("text")).limit(4 * len(ids)).collect():
+    # An id with several rows of a language gives one text, so what is collected keeps its bound.
+    picked = rows.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, dictionary_bytes)).alias("text"))
+    for r in picked.collect():
         texts.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
     # Each text gives an even share, so that one long text cannot fill a dictionary.
     out = {}
     for lang, found in texts.items():
         found = [normal(t) for _, t in sorted(found)]
         share = max(512, 2 * dictionary_bytes // max(1, len(found)))
-        out[lang] = b" ".join(t[:share] for t in found)[:dictionary_bytes]
+        # The library takes no dictionary under 8 bytes.
+        out[lang] = b" ".join(t[:share] for t in found)[:dictionary_bytes].ljust(8)
     rank = {r[0]: (-r[1], r[0]) for r in rows.groupBy("lang").count().collect()}
-    return {lang: out[lang] for lang in sorted(out, key=rank.__getitem__) if len(out[lang]) >= 8}
+    return {lang: out[lang] for lang in sorted(out, key=rank.__getitem__)}
 
 
 class Classifier:

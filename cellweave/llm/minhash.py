@@ -15,8 +15,10 @@ under ``miss``. The work then never expands a group into pairs:
 Links join exactly the pairs with ``100 * |A & B| >= percent * |A | B|`` among candidates. Texts
 travel compressed to the comparison and are shingled there again, as hashes do not compress.
 
-Null or blank texts have empty sets and link with nothing; rows with a null ``doc_id`` come back
-with a null component and ``kept`` true. Repeated ids are one document with several texts' links.
+Null or blank texts have empty sets and link with nothing. Rows with a null ``doc_id`` come back with
+a null component and ``kept`` true, and link nothing. Rows that repeat an id are one document: it has
+the links of all its texts, and its rows one component. An empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from cellweave.llm.shingles import RUN, mix, runs_of, sets_in_runs, shingle_sets
 from cellweave.storage import materialise
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
-#: A star of n members is cut into about sqrt(n / BLOCK) blocks.
-BLOCK = 16
-#: So many distinct shingles are multiplied at a time.
-COLUMNS = 4096
+#: A star of n members is cut into about sqrt(n / BLOCK) blocks; each text goes to twice as many tasks at most.
+BLOCK = 256
+#: Cells of the dense matrices that a comparison of blocks holds at a time.
+CELLS = 1 << 22
+#: Keys that may hold a large share of the rows are joined in so many parts.
+SALT = 64
 _CACHED = 1 << 16
 
 
@@ -157,18 +161,27 @@ def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     def links(first: np.ndarray, reps: np.ndarray, component: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
         keys, offsets = sets_in_runs(texts, shingle)
         size = np.diff(offsets)
+        n = len(texts)
         # Shingles of one document only are in no intersection.
         _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
         shared = count > 1
         place = np.cumsum(shared) - 1
         kept = shared[column]
-        of, column = np.repeat(np.arange(len(texts)), size)[kept], place[column][kept]
-        both = np.zeros((len(texts), len(texts)), dtype=np.float32)
-        for lo in range(0, int(shared.sum()), COLUMNS):
-            part = (column >= lo) & (column < lo + COLUMNS)
-            m = np.zeros((len(texts), COLUMNS), dtype=np.float32)
-            m[of[part], column[part] - lo] = 1
-            both += m @ m.T
+        of, column = np.repeat(np.arange(n), size)[kept], place[column][kept]
+        by_column = np.argsort(column, kind="stable")
+        of, column = of[by_column], column[by_column]
+        width = max(64, CELLS // n)
+        cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
+
+        def common(rows: np.ndarray) -> np.ndarray:
+            """Sizes of the intersections of some rows with all."""
+            both = np.zeros((len(rows), n), dtype=np.float32)
+            for k in range(len(cuts) - 1):
+                m = np.zeros((n, width), dtype=np.float32)
+                m[of[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * width] = 1
+                both += m[rows] @ m.T
+            return both
+
         # Components by number: a row's near members count once a component, so no list of pairs is held.
         names, number = np.unique(component, return_inverse=True)
         root = list(range(len(names)))
@@ -180,16 +193,19 @@ def _cross(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             return c
 
         out = []
-        free = np.ones(len(texts), dtype=bool) if first.all() else ~first
-        for i in np.flatnonzero(first).tolist() if not first.all() else range(len(texts)):
-            near = free & (component != component[i]) & (100 * both[i].astype(np.float64) >= percent * (size[i] + size - both[i]))
-            where = np.flatnonzero(near)
-            met, at = np.unique(number[where], return_index=True)
-            for c, j in zip(met.tolist(), where[at].tolist(), strict=True):
-                x, y = find(int(number[i])), find(c)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out.append((int(reps[i]), int(reps[j])))
+        free = np.ones(n, dtype=bool) if first.all() else ~first
+        left = np.flatnonzero(first)
+        for lo in range(0, len(left), max(1, CELLS // n)):
+            rows = left[lo : lo + max(1, CELLS // n)]
+            for i, both in zip(rows.tolist(), common(rows), strict=True):
+                near = free & (component != component[i]) & (100 * both.astype(np.float64) >= percent * (size[i] + size - both))
+                where = np.flatnonzero(near)
+                met, at = np.unique(number[where], return_index=True)
+                for c, j in zip(met.tolist(), where[at].tolist(), strict=True):
+                    x, y = find(int(number[i])), find(c)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((int(reps[i]), int(reps[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +235,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     bands = bands_for(percent, rows, miss)
     signed = materialise(signatures(docs, shingle, bands, rows), "signatures")
-    # Ids with several texts stand for all of them: their classes are linked by the id.
     classes = materialise(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "code"))
     counts = banded.groupBy("band", "code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -236,7 +251,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = materialise(wanted.mapInArrow(shrink, "doc_id long, packed binary"), "texts")
-    links = materialise(_confirm(star, texts, shingle, percent), "links")
+    # Ids with several texts link the classes of all of them.
+    several = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    of_id = signed.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "rep"), "digest")
+    same_id = of_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    links = materialise(_confirm(star, texts, shingle, percent).union(same_id), "links")
     found = connected_components(links)
     # Members of one star in different components are left to be compared. Of a star, the component with
     # most members needs no comparison inside; the others meet it, and each other, in blocks.
@@ -244,7 +263,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     arms = materialise(arms, "arms")
     tally = arms.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.sum("n").alias("n"), F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("int")
-    split = arms.join(tally, "a").select("a", "rep", "component", (F.col("component") != F.col("main")).alias("first"), blocks.alias("nb")).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    # A star may hold a large share of all rows: its arms are joined in parts.
+    salted = tally.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    split = arms.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int")).join(salted, ["a", "salt"]).select("a", "rep", "component", (F.col("component") != F.col("main")).alias("first"), blocks.alias("nb")).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     span = F.sequence(F.lit(0), F.col("nb") - 1)
     same = F.transform(span, lambda j: F.struct(F.lit(0).alias("t"), F.least(j, F.col("k")).alias("i"), F.greatest(j, F.col("k")).alias("j")))
     out = F.transform(span, lambda j: F.struct(F.lit(1).alias("t"), F.col("k").alias("i"), j.alias("j")))
@@ -256,5 +277,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = connected_components(links.union(more))
     by_class = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    # The id's own component: its texts' components are one.
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -31,7 +31,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Longer segments are relaxed one by one with a heap.
 LONG = 48
-CACHE_ENTRIES = 400_000
+#: Segments in the cache, and their characters together; the cache before it holds as many.
+CACHE_ENTRIES, CACHE_CHARACTERS = 400_000, 8_000_000
 _BIG = np.int64(1 << 62)
 
 
@@ -68,6 +69,7 @@ class PieceEncoder:
         self.ids = np.array([i for _, i in self.pieces])
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     # -- segments
 
@@ -83,10 +85,11 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.segments(t or "") for t in texts]
         fresh = list(dict.fromkeys(s for p in parts for s in p if s not in self.cache))
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
+        if len(self.cache) + len(fresh) > CACHE_ENTRIES or self.held > CACHE_CHARACTERS:
+            self.older, self.cache, self.held = self.cache, {}, 0
             fresh = list(dict.fromkeys(s for p in parts for s in p))
         missing = []
+        self.held += sum(map(len, fresh))
         for s in fresh:
             if (known := self.older.get(s)) is not None:
                 self.cache[s] = known
@@ -241,14 +244,21 @@ class PieceEncoder:
 _made: dict = {}
 
 
+def _encoder(vocabulary: list[tuple[str, float, str]]) -> PieceEncoder:
+    """One encoder for each Python worker and vocabulary."""
+    key = hash(tuple(vocabulary))
+    if key not in _made:
+        _made.clear()
+        _made[key] = PieceEncoder(vocabulary)
+    return _made[key]
+
+
 def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, restored[, ids]): per row; ``restored`` says that decoding the ids gives the text again."""
     sent = read_model(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "encoder" not in _made:
-            _made["encoder"] = PieceEncoder(sent.value)
-        model: PieceEncoder = _made["encoder"]
+        model = _encoder(sent.value)
         for batch in batches:
             column = batch.column("text")
             sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in column]
@@ -269,9 +279,7 @@ def decode_pieces(rows: DataFrame, path: str | None = None) -> DataFrame:
     sent = read_model(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "encoder" not in _made:
-            _made["encoder"] = PieceEncoder(sent.value)
-        model: PieceEncoder = _made["encoder"]
+        model = _encoder(sent.value)
         for batch in batches:
             texts = [None if i is None else model.decode(np.array(i, dtype="<u4").tobytes()) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 TOKENIZER = "byte_bpe_50k.json"
 #: So many encoded chunks are held in the cache, and as many in the one before it.
 CACHE_ENTRIES = 500_000
+#: Both caches turn over as well when their chunks have so many characters.
+CACHE_CHARACTERS = 16_000_000
 #: How the vocabulary spells the byte of a space.
 SPACE_BYTE = "Ġ"
 #: After a letter or digit, a run of these at a chunk's end is always a pre-token of its own.
@@ -44,6 +46,7 @@ class ChunkEncoder:
         self.cache: dict[str, bytes] = {"": self.blank}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -51,9 +54,10 @@ class ChunkEncoder:
     def _learn(self, words: set[str]) -> None:
         """Put the ids of " " + word into the cache, for all words by one call of the library where none has a space."""
         cache, older = self.cache, self.older
-        if len(cache) + len(words) > CACHE_ENTRIES:
-            self.older, self.cache = cache, {"": self.blank}
+        if len(cache) + len(words) > CACHE_ENTRIES or self.held > CACHE_CHARACTERS:
+            self.older, self.cache, self.held = cache, {"": self.blank}, 0
             cache, older = self.cache, self.older
+        self.held += sum(map(len, words))
         fresh, tailed = set(), []
         for w in words:
             core = w.rstrip(TAIL)
@@ -72,7 +76,7 @@ class ChunkEncoder:
             tail = w[len(core) :]
             if (last := self.tails.get(tail)) is None:
                 last = self._ids(tail)
-                if len(self.tails) < CACHE_ENTRIES:
+                if len(self.tails) < CACHE_ENTRIES and len(tail) <= 64:
                     self.tails[tail] = last
             cache[w] = cache[core] + last
 
