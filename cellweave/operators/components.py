@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.storage import materialise
+from cellweave.storage import materialise, release
 
 MAX_ROUNDS = 64
 
@@ -28,15 +28,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         near = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("m")), "cc-near")
         # The map may chain (v -> m(v) -> m(m(v))); one jump halves the chain and keeps ids decreasing.
         jump = near.join(near.select(F.col("v").alias("m"), F.col("m").alias("mm")), "m", "left").select("v", F.coalesce("mm", "m").alias("m"))
-        near = materialise(jump, "cc-map")
+        first, near = near, materialise(jump, "cc-map")
+        release(first)
         if labels is None:
             labels = near
         else:
+            old = labels
             labels = labels.join(near.select(F.col("v").alias("m"), F.col("m").alias("mm")), "m", "left").select("v", F.coalesce("mm", "m").alias("m"))
             labels = materialise(labels, "cc-labels")
+            release(old)
         step = left.join(near.select(F.col("v").alias("a"), F.col("m").alias("ma")), "a").select("ma", "b")
         step = step.join(near.select(F.col("v").alias("b"), F.col("m").alias("mb")), "b").where("ma <> mb")
-        left = materialise(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "cc-edges")
+        done, left = left, materialise(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "cc-edges")
+        release(done)
+        if labels is not near:
+            release(near)
     else:
         raise RuntimeError("components did not settle")
     if labels is None:

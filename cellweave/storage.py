@@ -28,9 +28,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cellweave/{label}-{uuid.uuid4().hex}"
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_cellweave_path", None)
+        if path is not None:
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later stages survive lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellweave_path = path
+    return out
