@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.components import connected_components
 from cellweave.llm.shingles import RUN, mix, runs_of, sets_in_runs, shingle_sets
-from cellweave.storage import materialise
+from cellweave.storage import materialise, release
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
 #: A star of n members is cut into about sqrt(n / BLOCK) blocks; each text goes to twice as many tasks at most.
@@ -274,7 +274,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tasks = tasks.select(F.xxhash64("a", "task").alias("key"), (F.col("first") | (F.col("task.t") == 0)).alias("first"), "rep", "component").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     more = materialise(_cross(tasks, shingle, percent), "links")
     if not more.isEmpty():
-        found = connected_components(links.union(more))
+        first, found = found, connected_components(links.union(more))
+        release(first)
+    release(members, star, texts, links, arms, more)
     by_class = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     # The id's own component: its texts' components are one.

@@ -438,3 +438,58 @@ def test_sets_do_not_depend_on_runs():
     for got, want in zip(shingles.sets_in_runs(texts, 3), shingles.shingle_sets(texts, 3), strict=True):
         assert np.array_equal(got, want)
     assert [len(x) for x in shingles.sets_in_runs([], 3)] == [0, 1]
+
+
+def test_repeated_rows_null_ids_and_extra_columns(spark):
+    """The same row twice, ids with several texts, null ids, and extra columns whose names the operators use themselves."""
+    from cellweave.llm.chat import format_chats
+    from cellweave.llm.embeddings import near_vectors
+    from cellweave.llm.language import learn, predict
+    from cellweave.llm.minhash import near_duplicates
+    from cellweave.llm.packing import pack
+    from cellweave.llm.pieces import encode_pieces
+    from cellweave.llm.spotsigs import neighbour_fingerprints
+    from cellweave.llm.tokenfile import read_token_files, write_token_files
+
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota"
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "de"), (9, b, "de"), (9, b, "de"), (None, a, None), (None, None, None), (11, None, "en")]
+    extra = "part long, rank long, rep long, digest string, packed string, r long, h string, bands string, component string, body string, held_out string"
+    df = spark.createDataFrame([(*r, *[None] * 11) for r in rows], f"doc_id long, text string, lang string, {extra}")
+    got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"], r["n_shingles"]) for r in near_duplicates(df).collect() if r["doc_id"] is not None)
+    assert got == [(3, 3, True, 6), (5, 3, False, 5), (5, 3, False, 6), (9, 3, False, 5), (9, 3, False, 5), (11, 11, True, 0)]
+    nulls = [(r["component_id"], r["kept"]) for r in near_duplicates(df).collect() if r["doc_id"] is None]
+    assert nulls == [(None, True)] * 2
+    n_rows = {"pack": pack(df), "predict": predict(df, learn(df)), "files": read_token_files(write_token_files(df)), "pieces": encode_pieces(df), "spots": neighbour_fingerprints(df)}
+    for name, out in n_rows.items():
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r[0]) for r in rows), name
+    v = spark.createDataFrame([(1, [1.0, 0.0], 7), (1, [1.0, 0.0], 7), (None, [1.0, 0.0], 7), (2, [0.0, 1.0], 7)], "vec_id long, embedding array<double>, rep long")
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in near_vectors(v).collect()) == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 0, 2)]
+    turns = [(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (2, 0, "user", "hi", "x"), (4, 1, "u", "long " * 50_000, "x"), (4, 1, "u", "a", "x")]
+    chats = {r["conv_id"]: r for r in format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, h string")).collect()}
+    assert set(chats) == {1, 4} and chats[1]["n_turns"] == 2 and chats[4]["rendered"].startswith("<|u|>\na<|end|>\n<|u|>\nlong ")
+
+
+def test_hot_stars_are_compared_in_blocks(spark):
+    """Many texts in one bucket that its centre does not link, compared in blocks: against brute force."""
+    from cellweave.llm import minhash
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(60)]
+    base = [rng.choice(words) for _ in range(40)]
+    texts = []
+    for _ in range(300):
+        t = base[:]
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    s = [shingles(t, 3) for t in texts]
+    root = list(range(len(s)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(s)):
+        for j in range(i):
+            if 100 * len(s[i] & s[j]) >= 50 * len(s[i] | s[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 50, rows=3).collect()}
+    assert got == {i: find(i) for i in range(len(s))}
