@@ -39,7 +39,7 @@ from cellweave.storage import materialise, release
 
 SHINGLE, PERCENT, ROWS, MISS = 5, 80, 6, 3e-7
 #: A star of n members is cut into about sqrt(n / BLOCK) blocks; each text goes to twice as many tasks at most.
-BLOCK = 256
+BLOCK = 64
 #: Cells of the dense matrices that a comparison of blocks holds at a time.
 CELLS = 1 << 22
 #: Keys that may hold a large share of the rows are joined in so many parts.
