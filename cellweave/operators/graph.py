@@ -46,20 +46,20 @@ def oriented(edges: DataFrame) -> DataFrame:
 def cliques(edges: DataFrame, size: int) -> DataFrame:
     """All ``size``-cliques as (g, verts), vertices ascending.
 
-    Vertices are added along degree-ordered edges; a candidate pair is closed by semi joins, so work
-    follows the out-degrees of the orientation, which are bounded by the square root of the edges.
+    Each vertex has the list of its out-neighbours along degree-ordered edges, at most the square root
+    of twice the edges; a path carries the vertices that may still join all of it, an intersection of
+    such lists. So a step is one join with the lists, and no candidate pair is ever a row.
     """
     if size == 2:
         return edges.select("g", F.array("u", "v").alias("verts"))
-    out = oriented(edges)
-    paths = out.select("g", F.array("a", "b").alias("path"))
+    out = oriented(materialise(edges.select("g", "u", "v"), "clique-edges"))
+    lists = materialise(out.groupBy("g", "a").agg(F.collect_list("b").alias("near")), "clique-lists")
+    paths = lists.where(F.size("near") >= size - 1).select("g", F.array("a").alias("path"), "near")
     for k in range(2, size):
-        grown = paths.withColumn("a", F.element_at("path", 1)).join(out.select("g", "a", F.col("b").alias("w")), ["g", "a"])
-        # Each clique is grown once, along its order: the new vertex closes with the last one, then the others.
-        for j in range(k, 1, -1):
-            grown = grown.withColumn("s", F.element_at("path", j)).join(out.select("g", F.col("a").alias("s"), F.col("b").alias("w")), ["g", "s", "w"], "left_semi").drop("s")
-        paths = grown.select("g", F.concat("path", F.array("w")).alias("path"))
-    return paths.select("g", F.array_sort("path").alias("verts"))
+        grown = paths.select("g", "path", "near", F.explode("near").alias("w"))
+        joined = grown.join(lists.select("g", F.col("a").alias("w"), F.col("near").alias("next")), ["g", "w"])
+        paths = joined.select("g", F.concat("path", F.array("w")).alias("path"), F.array_intersect("near", "next").alias("near")).where(F.size("near") >= size - k)
+    return paths.select("g", "path", F.explode("near").alias("w")).select("g", F.array_sort(F.concat("path", F.array("w"))).alias("verts"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -49,17 +49,48 @@ B3 = f", B3 AS (SELECT b || '-' || c || '-' || d AS i, {KN} AS j, 1 AS s FROM K
 PARTS = "SELECT p_partkey AS v FROM part"
 
 
-def query(sql: str | None = None, whole: Callable[[str], str | None] = lambda sql: sql):
-    """Registers a query; one with a parameter ``whole`` again as ``NAME_whole``, over all orders, with the SQL of all orders (where ``whole`` leaves one)."""
+#: For triangles: degree-ordered edges O, wedges at their lower ends, closed by E.
+FAST = (
+    ", D AS MATERIALIZED (SELECT v, count(*) AS d FROM (SELECT u AS v FROM E UNION ALL SELECT v FROM E) GROUP BY v)"
+    ", O AS MATERIALIZED (SELECT CASE WHEN (p.d, E.u) < (q.d, E.v) THEN E.u ELSE E.v END AS a, CASE WHEN (p.d, E.u) < (q.d, E.v) THEN E.v ELSE E.u END AS b FROM E JOIN D p ON p.v = E.u JOIN D q ON q.v = E.v)"
+    ", W AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM O x JOIN O y ON x.a = y.a AND x.b < y.b)"
+    ", T AS (SELECT least(p, q) AS a, CASE WHEN p < q THEN q WHEN p < r THEN p ELSE r END AS b, greatest(p, r) AS c FROM W SEMI JOIN E ON E.u = W.q AND E.v = W.r)"
+)
+
+
+def summed(df: DataFrame, key: list[str]) -> DataFrame:
+    """A large result in a row for each ``key``: the number of its rows, the sum of ``val`` and a checksum of the other columns."""
+    rest = [c for c in df.columns if c not in (*key, "val")]
+    # Names are digits joined by "-": without it they are numbers.
+    check = F.lit(0).cast("long")
+    for k, c in enumerate(rest):
+        check = check + (2 * k + 1) * F.translate(F.col(c), "-", "").cast("long") if df.schema[c].dataType.simpleString() == "string" else check + (2 * k + 1) * F.col(c).cast("long")
+    sums = [F.sum("val").alias("val")] if "val" in df.columns else []
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(check).alias("checksum"))
+
+
+def summed_sql(sql: str, key: list[str], columns: list[str]) -> str:
+    check = " + ".join(f"{2 * k + 1} * CAST(replace(CAST({c} AS VARCHAR), '-', '') AS BIGINT)" for k, c in enumerate(c for c in columns if c not in (*key, "val")))
+    sums = "CAST(sum(val) AS BIGINT) AS val, " if "val" in columns else ""
+    by = ", ".join(key)
+    return f"SELECT {by}, CAST(count(*) AS BIGINT) AS n, {sums}CAST(sum({check}) AS BIGINT) AS checksum FROM ({sql}) GROUP BY {by}"
+
+
+def query(sql: str | None = None, whole: Callable[[str], str | None] = lambda sql: sql, by: tuple[list[str], list[str]] | None = None):
+    """Registers a query; one with a parameter ``whole`` again as ``NAME_whole``, over all orders, with the SQL of all orders (where ``whole`` leaves one).
+
+    With ``by`` (key, columns) the whole result, of millions of rows, is computed and returned in sums for each key.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
         if "whole" in inspect.signature(f).parameters:
-            QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
-            if sql and (every := whole(sql.replace(H3, HW))):
-                ORACLES[f"{f.__name__}_whole"] = every
+            every = functools.partial(f, whole=True)
+            QUERIES[f"{f.__name__}_whole"] = (lambda spark, sf: summed(every(spark, sf), by[0])) if by else every
+            if sql and (text := whole(sql.replace(H3, HW))):
+                ORACLES[f"{f.__name__}_whole"] = summed_sql(text, *by) if by else text
         return f
 
     return add
@@ -126,7 +157,7 @@ def hyperedge_cardinality(spark, sf):
     return T.order_hypergraph(spark, sf).groupBy("he").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {E}{TRI} SELECT {TN} AS verts FROM T")
+@query(f"WITH {E}{FAST} SELECT {TN} AS verts FROM T".replace("E AS (", "E AS MATERIALIZED (", 1))
 def triangles(spark, sf):
     return names(G.triangles(T.purchase_graph(spark, sf)))
 
@@ -146,12 +177,12 @@ def khop_1(spark, sf, whole=False):
     return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 1).select("centre", "v")
 
 
-@query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s")
+@query(f"WITH {E3}{U} SELECT p.v AS centre, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U UNION SELECT a.s, b.t FROM U a JOIN U b ON a.t = b.s", by=(['centre'], ['centre', 'v']))
 def khop_2(spark, sf, whole=False):
     return G.k_hop(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2).select("centre", "v")
 
 
-@query(f"WITH {E3}{U}, d2 AS (SELECT p.v AS c, p.v AS v, 0 AS d FROM ({PARTS}) p UNION ALL SELECT s, t, 1 FROM U UNION ALL SELECT a.s, b.t, 2 FROM U a JOIN U b ON a.t = b.s) SELECT c AS centre, v, CAST(min(d) AS INTEGER) AS d FROM d2 GROUP BY c, v")
+@query(f"WITH {E3}{U}, d2 AS (SELECT p.v AS c, p.v AS v, 0 AS d FROM ({PARTS}) p UNION ALL SELECT s, t, 1 FROM U UNION ALL SELECT a.s, b.t, 2 FROM U a JOIN U b ON a.t = b.s) SELECT c AS centre, v, CAST(min(d) AS INTEGER) AS d FROM d2 GROUP BY c, v", by=(['centre', 'd'], ['centre', 'd', 'v']))
 def bfs_distance_2(spark, sf, whole=False):
     return G.distances(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2).select("centre", "v", "d")
 
@@ -206,11 +237,11 @@ def up_laplacian_0(spark, sf, whole=False):
 
 
 @query(f"WITH {E3}{B1} SELECT x.j AS i, y.j AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
-def down_laplacian_1(spark, sf, whole=False):
-    return matrix(C.down_laplacian(sparse_cells(spark, sf, 1, whole=whole), 1))
+def down_laplacian_1(spark, sf):
+    return matrix(C.down_laplacian(sparse_cells(spark, sf, 1), 1))
 
 
-@query(f"WITH {E3}{TRI}{B2} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B2 x JOIN B2 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0")
+@query(f"WITH {E3}{TRI}{B2} SELECT x.i, y.i AS j, CAST(sum(x.s * y.s) AS BIGINT) AS val FROM B2 x JOIN B2 y ON x.j = y.j GROUP BY 1, 2 HAVING sum(x.s * y.s) <> 0", by=(['i'], ['i', 'j', 'val']))
 def up_laplacian_1(spark, sf, whole=False):
     return matrix(C.up_laplacian(sparse_cells(spark, sf, whole=whole), 1))
 
@@ -226,8 +257,8 @@ def adjacency_0(spark, sf, whole=False):
 
 
 @query(f"WITH {E3}{B1} SELECT DISTINCT x.j AS i, y.j AS j, CAST(1 AS BIGINT) AS val FROM B1 x JOIN B1 y ON x.i = y.i AND x.j <> y.j")
-def coadjacency_1(spark, sf, whole=False):
-    return matrix(C.coadjacency(sparse_cells(spark, sf, 1, whole=whole), 1))
+def coadjacency_1(spark, sf):
+    return matrix(C.coadjacency(sparse_cells(spark, sf, 1), 1))
 
 
 @query(f"WITH {E3}{TRI}, m AS (SELECT a AS v, {TN} AS t FROM T UNION ALL SELECT b, {TN} FROM T UNION ALL SELECT c, {TN} FROM T) SELECT DISTINCT CAST(x.v AS VARCHAR) AS i, CAST(y.v AS VARCHAR) AS j, CAST(1 AS BIGINT) AS val FROM m x JOIN m y ON x.t = y.t AND x.v <> y.v")
@@ -265,7 +296,7 @@ def projection_sum_1(spark, sf):
     return X.projection_sum_simplices(cells, part_sizes(spark, sf), 1).select(C.name("verts").alias("id"), "x")
 
 
-@query(f"WITH {E}{TRI}, {PX} SELECT {TN} AS id, 2 * (p.x + q.x + r.x) AS x FROM T JOIN x p ON p.v = a JOIN x q ON q.v = b JOIN x r ON r.v = c")
+@query(f"WITH {E}{FAST}, {PX} SELECT {TN} AS id, 2 * (p.x + q.x + r.x) AS x FROM T JOIN x p ON p.v = a JOIN x q ON q.v = b JOIN x r ON r.v = c".replace("E AS (", "E AS MATERIALIZED (", 1))
 def projection_sum_2(spark, sf):
     cells = G.triangles(T.purchase_graph(spark, sf)).withColumn("rank", F.lit(2))
     return X.projection_sum_simplices(cells, part_sizes(spark, sf), 2).select(C.name("verts").alias("id"), "x")
@@ -392,19 +423,19 @@ def neighborhood_complex_sets(spark, sf, whole=False):
     return names(S.neighbourhood_complex_sets(T.parts(spark, sf), T.sparse_graph(spark, sf, whole)))
 
 
-@query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E) SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e")
+@query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E) SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e", by=(['u'], ['u', 'v']))
 def line_graph_edges(spark, sf, whole=False):
     return S.line_graph(T.sparse_graph(spark, sf, whole)).select("u", "v")
 
 
 @query(f"WITH {E3}{U}, w AS (SELECT list_sort([b.s, a.s, b.t]) AS x FROM U a JOIN U b ON a.t = b.s AND b.t <> a.s) SELECT DISTINCT array_to_string(x, '-') AS verts FROM w")
-def graph_induced_2(spark, sf, whole=False):
-    return names(S.connected_subsets(T.sparse_graph(spark, sf, whole), 3))
+def graph_induced_2(spark, sf):
+    return names(S.connected_subsets(T.sparse_graph(spark, sf), 3))
 
 
 @query(f"WITH {E3}{U}, b AS (SELECT p.v AS c, p.v FROM ({PARTS}) p UNION SELECT s, t FROM U) SELECT DISTINCT x.v || '-' || y.v || '-' || z.v AS verts FROM b x JOIN b y ON x.c = y.c AND x.v < y.v JOIN b z ON z.c = x.c AND y.v < z.v")
-def khop_simplices(spark, sf, whole=False):
-    return names(S.neighbourhood_simplices(T.parts(spark, sf), T.sparse_graph(spark, sf, whole), 2))
+def khop_simplices(spark, sf):
+    return names(S.neighbourhood_simplices(T.parts(spark, sf), T.sparse_graph(spark, sf), 2))
 
 
 @query(f"WITH {N}{TRI} SELECT {TN} AS verts FROM T")
@@ -642,9 +673,12 @@ def laplacian_pe(spark, sf):
 # --- seeded and spectral liftings, further forward passes
 
 
-@query(f"WITH {E3}, x AS (SELECT {EN} AS e, u AS p FROM E UNION ALL SELECT {EN}, v FROM E), l AS (SELECT DISTINCT a.e AS u, b.e AS v FROM x a JOIN x b ON a.p = b.p AND a.e < b.e) SELECT a.u || '-' || a.v || '-' || b.v AS verts FROM l a JOIN l b ON a.v = b.u JOIN l c ON c.u = a.u AND c.v = b.v")
-def line_lifting_triangles(spark, sf, whole=False):
-    return names(Z.line_simplices(T.sparse_graph(spark, sf, whole), 3))
+LINES = E3.replace(" E AS (", " EE AS MATERIALIZED (") + ", X AS MATERIALIZED (SELECT (u || '-' || v) AS e, u AS p FROM EE UNION ALL SELECT (u || '-' || v), v FROM EE), E AS MATERIALIZED (SELECT DISTINCT a.e AS u, b.e AS v FROM X a JOIN X b ON a.p = b.p AND a.e < b.e)"
+
+
+@query(f"WITH {LINES}{FAST} SELECT a || '-' || b || '-' || c AS verts FROM T")
+def line_lifting_triangles(spark, sf):
+    return names(Z.line_simplices(T.sparse_graph(spark, sf), 3))
 
 
 @query(f"WITH {E3}, {PX} SELECT (u || '-' || E.v) AS id, round((p.x + q.x) / 2.0 + 1e-9, 6) AS x FROM E JOIN x p ON p.v = E.u JOIN x q ON q.v = E.v")
