@@ -151,3 +151,47 @@ def total_loss(parts: list[Column], weights: list[float] | None = None) -> Colum
     for part, weight in zip(parts, weights or [1.0] * len(parts), strict=True):
         out = out + weight * part
     return out
+
+
+def mean_loss(rows: DataFrame, loss: Column, weight: Column | None = None) -> DataFrame:
+    """A dataset's loss: the mean of a loss per row, over rows where there is one."""
+    return rows.agg((F.avg(loss) if weight is None else F.sum(loss * weight) / F.sum(F.when(loss.isNotNull(), weight))).alias("loss"))
+
+
+def squared_error(pred: Column, label: Column) -> Column:
+    return (pred - label) * (pred - label)
+
+
+def absolute_error(pred: Column, label: Column) -> Column:
+    return F.abs(pred - label)
+
+
+def auroc_by_class(rows: DataFrame, scores: str, label: str) -> DataFrame:
+    """(class, auroc): one against the rest for every class of an array of scores; rows of one score share ranks."""
+    flat = rows.select(F.col(label).alias("y_"), F.posexplode(scores).alias("class", "s"))
+    by = flat.groupBy("class", "s").agg(F.count_if(F.col("y_") == F.col("class")).alias("p"), F.count_if(F.col("y_") != F.col("class")).alias("q"))
+    below = F.sum("q").over(Window.partitionBy("class").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("q")
+    won = by.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    return won.groupBy("class").agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auroc"))
+
+
+def metric_value(metrics: DataFrame, name: str) -> float:
+    """The value of one metric of a one-row report; a name that is not there raises."""
+    if name not in metrics.columns:
+        raise ValueError(f"no metric {name!r}; there are {metrics.columns}")
+    return metrics.select(name).first()[0]
+
+
+def collate(matrices: DataFrame, sizes: DataFrame, batch_size: int) -> DataFrame:
+    """Block-diagonal batches (batch, row, col, val) of ``matrices(g, row, col, val)``; ``sizes(g, rows, cols)`` are the graphs' shapes, graphs go in id order."""
+    numbered = batch_numbers(sizes, "g", batch_size).join(sizes, "g")
+    order = Window.partitionBy("batch").orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = numbered.select("g", "batch", *((F.sum(c).over(order) - F.col(c)).alias(f"{c}_before") for c in ("rows", "cols")))
+    return matrices.join(placed, "g").select("batch", (F.col("row") + F.col("rows_before")).alias("row"), (F.col("col") + F.col("cols_before")).alias("col"), "val")
+
+
+def count_parameters(weights) -> int:
+    """Numbers in a nested structure of weights: lists, tuples, dicts."""
+    if isinstance(weights, dict):
+        weights = list(weights.values())
+    return sum(map(count_parameters, weights)) if isinstance(weights, (list, tuple)) else 1

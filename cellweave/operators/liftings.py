@@ -346,21 +346,23 @@ def expander_hypergraph(n: int, degree: int, spark, seed: int = 0) -> DataFrame:
 # --- hypergraph and simplicial to combinatorial
 
 
-def universal_strict_rank(incidence: DataFrame, rounds: int = 64) -> DataFrame:
-    """(g, he, rank): 0 for singletons, else the longest chain of strict sub-hyperedges, at least 1."""
+def universal_strict_rank(incidence: DataFrame) -> DataFrame:
+    """(g, he, rank): 0 for singletons, else the longest chain of strict sub-hyperedges, at least 1.
+
+    Rounds go on until no rank grows; a chain is never longer than its last hyperedge is large, so they end.
+    """
     size = incidence.groupBy("g", "he").agg(F.count(F.lit(1)).alias("n"))
     base = materialise(size.withColumn("rank", F.when(F.col("n") == 1, 0).otherwise(1)), "ranks")
     a, b = incidence.select("g", "v", F.col("he").alias("a")), incidence.select("g", "v", F.col("he").alias("b"))
     inside = a.join(b, ["g", "v"]).where("a <> b").groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     inside = inside.join(size.select("g", F.col("he").alias("a"), F.col("n").alias("na")), ["g", "a"]).join(size.select("g", F.col("he").alias("b"), F.col("n").alias("nb")), ["g", "b"])
     inside = materialise(inside.where("shared = na AND na < nb").select("g", "a", "b"), "inside")
-    for _ in range(rounds):
+    while True:
         up = inside.join(base.select("g", F.col("he").alias("a"), "rank"), ["g", "a"]).groupBy("g", F.col("b").alias("he")).agg((F.max("rank") + 1).alias("up"))
         new = materialise(base.join(up, ["g", "he"], "left").select("g", "he", "n", F.greatest("rank", F.coalesce("up", F.lit(0))).alias("rank"), (F.col("up") > F.col("rank")).alias("grew")), "ranks")
         base = new.drop("grew")
         if new.where("grew").isEmpty():
-            break
-    return base.select("g", "he", "rank")
+            return base.select("g", "he", "rank")
 
 
 def coface_cells(cells: DataFrame, keep_features: bool = False) -> DataFrame:

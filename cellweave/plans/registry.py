@@ -914,3 +914,6 @@ def strong_components(spark, sf):
 def hyperbolic_distances(spark, sf):
     d = S.pair_distances(T.points(spark, sf), "hyperbolic").where("a <> b")
     return d.groupBy(F.col("a").alias("v")).agg(near(F.min("d"), 5).alias("least"), near(F.max("d"), 5).alias("most"))
+
+
+from cellweave.plans import registry_tables  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.connectivity import closure
+from cellweave.operators.features import positions_as_features
 from cellweave.operators.graph import canonical
 
 #: The built-in example graphs, as canonical edges.
@@ -102,3 +103,12 @@ def read_manifolds(spark: SparkSession, path: str, most: int | None = None) -> t
 def one_skeleton(cells: DataFrame) -> DataFrame:
     """A complex as a graph: (g, u, v)."""
     return cells.where("rank = 1").select("g", F.element_at("verts", 1).alias("u"), F.element_at("verts", 2).alias("v"))
+
+
+def point_clouds(spark: SparkSession, folder: str, parts: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """Point clouds (g, v, x, y, part) from Parquet tables of points, the parts one after another, positions as features."""
+    out = None
+    for part in parts:
+        points = positions_as_features(spark.read.parquet(f"{folder}/{part}")).withColumn("part", F.lit(part))
+        out = points if out is None else out.unionByName(points)
+    return out
