@@ -103,11 +103,11 @@ def runs_of(sizes: list[int], most: int = RUN):
         yield begin, len(sizes)
 
 
-def sets_in_runs(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`shingle_sets`, with working arrays of one run's size."""
+def in_runs(texts: list[bytes], sets) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sets(texts)``, with working arrays of one run's size."""
     parts, counts = [], [np.zeros(1, dtype=np.int64)]
     for lo, hi in runs_of([len(t) for t in texts]):
-        keys, offsets = shingle_sets(texts[lo:hi], size)
+        keys, offsets = sets(texts[lo:hi])
         parts.append(keys)
         counts.append(np.diff(offsets))
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.cumsum(np.concatenate(counts))

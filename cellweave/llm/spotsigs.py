@@ -6,30 +6,38 @@ frequent function words of several languages and, so that texts without them hav
 one of every ``RARE`` words by its hash. Where a text has fewer than ``ENOUGH`` distinct chains, a
 sample of its letter grams makes up for what they lack: grams are taken by their hash, in the share of
 the lack in the number of grams, so that the features change gradually with the text, and texts
-that are nearly equal sample nearly the same grams. Likeness is the Jaccard similarity of two fingerprints. The query needs each row's likeness to two
-given texts only, so the method's search for similar pairs (partitions by set size, of which neighbours
-are compared) is not part of it: :func:`size_partition` and the pruning of :func:`jaccard` are for
-callers that search.
+that are nearly equal sample nearly the same grams. Likeness is the Jaccard similarity of two fingerprints.
+
+:func:`neighbour_fingerprints` gives each row's likeness to two given texts. :func:`near_duplicates` finds
+all similar documents: fingerprints are dealt to partitions by set size, of which only neighbours can
+hold similar sets; in a partition an index of signatures lists every fingerprint under its rarest
+signatures, as many as two similar sets cannot all miss; the members of a list are compared whole, but
+for pairs whose sizes rule the similarity out. The search loses no pair.
 
 Null and empty texts have empty fingerprints; the likeness of two empty ones is 1 (equal texts), of
-one empty one 0. Rows with a null ``doc_id`` sort first. Repeated ids sort by text. An empty table
-gives no rows; extra columns are ignored.
+one empty one 0; in the search they link with nothing. Rows with a null ``doc_id`` sort first, and link
+nothing in the search. Repeated ids sort by their compressed texts; in the search they are one document.
+An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.llm.linking import components_of_buckets, documents, same_ids
 from cellweave.llm.shingles import mix, runs_of, word_hashes
+from cellweave.storage import materialise
 
-CHAIN, RARE, ENOUGH, GRAM = 2, 8, 200, 4
+CHAIN, RARE, ENOUGH, GRAM, PERCENT = 2, 8, 200, 4, 80
 _rng = np.random.default_rng(20260301)
 _GRAM = _rng.integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Function words of English, German, French and Spanish.
@@ -116,7 +124,65 @@ def jaccard(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
 
 def size_partition(n: int, least: float) -> int:
     """Sets of similarity ``least`` or more lie in the same or neighbouring partitions of set sizes."""
-    return int(np.floor(np.log(max(n, 1)) / -np.log(least)))
+    return int(np.floor(np.log(max(n, 1)) / partition_width(least)))
+
+
+def partition_width(least: float) -> float:
+    """Width of a partition of logarithmic sizes, with room for rounding."""
+    return -math.log(least) * (1 + 1e-9) + 1e-9
+
+
+def _spots(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_signatures, digest, codes) per document; digest is null for empty fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            for lo, hi in runs_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                found = fingerprints([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
+                columns = [ids.slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array(digest, pa.binary()), pa.array([x.view(np.int32) for x in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_signatures", "digest", "codes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_signatures long, digest binary, codes array<int>")
+
+
+def _sets(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints one after another, and their offsets."""
+    return np.frombuffer(b"".join(contents), dtype="<u4").astype(np.uint64), np.cumsum([0] + [len(x) // 4 for x in contents])
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_signatures, component_id, kept) for every row of ``docs(doc_id, text)``: documents link with a likeness of at least ``percent`` / 100.
+
+    Equal fingerprints are one class, of which one goes on. Two sets of n signatures and more that link
+    have at least ``percent * n / 100`` in common, so they share one of the n - that + 1 rarest. Signatures
+    of one class only are the rarest and in no list, so most classes are listed nowhere.
+    """
+    signed = materialise(_spots(docs), "spots")
+    classes = materialise(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("codes", "doc_id").alias("codes")), "classes")
+    spots = classes.select("digest", "rep", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+    lists = spots.groupBy("code").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    of_class = Window.partitionBy("digest")
+    ranked = spots.join(lists, "code").select("*", F.row_number().over(of_class.orderBy("held", "code")).alias("k"), F.count(F.lit(1)).over(of_class).alias("listed"))
+    listed = ranked.where(f"k <= listed + 1 - ({percent} * n + 99) div 100")
+    part = F.floor(F.log("n") / F.lit(partition_width(percent / 100))).cast("int")
+    dealt = listed.select("rep", "code", F.explode(F.array(part, part + 1)).alias("band"))
+    counts = dealt.groupBy("band", "code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialise(dealt.join(counts, ["band", "code"]), "members")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [squeeze.compress(np.asarray(x.values, dtype="<i4").tobytes()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    def pack(ids: DataFrame) -> DataFrame:
+        return classes.select(F.col("rep").alias("doc_id"), "codes").join(ids, "doc_id", "left_semi").mapInArrow(shrink, "doc_id long, packed binary")
+
+    found = components_of_buckets(members, pack, same_ids(signed, classes), _sets, percent)
+    return documents(signed, classes, found, "n_signatures")
 
 
 def edited(text: str, following: str) -> str:

@@ -334,6 +334,58 @@ def test_size_partitions_and_pruning():
         likeness = len(set(x) & set(y)) / len(set(x) | set(y))
         assert jaccard(x, y) == likeness and jaccard(x, y, 0.5) in ((likeness,) if likeness >= 0.5 else (likeness, 0.0))
         assert likeness < 0.5 or abs(size_partition(len(x), 0.5) - size_partition(len(y), 0.5)) <= 1
+    for n in range(1, 5000):
+        assert size_partition(-(-5 * n // 4) if 5 * n % 4 == 0 else 5 * n // 4, 0.8) - size_partition(n, 0.8) <= 1
+
+
+def classes_of_pairs(ids, linked):
+    """id -> least id reachable over the pairs of positions that ``linked`` accepts."""
+    root = {d: d for d in ids}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(i, j):
+                x, y = sorted((find(ids[i]), find(ids[j])))
+                root[y] = x
+    return {d: find(d) for d in ids}
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_spot_search(spark, docs, plain, percent):
+    """All similar documents by partitions and lists, against all pairs; nulls, empty and long texts, equal texts, one large group."""
+    from cellweave.llm.spotsigs import fingerprints, near_duplicates
+
+    rng = random.Random(percent)
+    base = (plain[40] or "").split()
+    more = []
+    for k in range(150):
+        w = base[:]
+        for _ in range(rng.randint(0, 30)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+        more.append((1000 + k, " ".join(w)))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {**{d: t for d, t in plain.items() if d is not None}, **dict(more)}
+    ids = sorted(texts)
+    prints = [set(x.tolist()) for x in fingerprints([texts[d] or "" for d in ids])]
+    want = classes_of_pairs(ids, lambda i, j: bool(prints[i]) and 100 * len(prints[i] & prints[j]) >= percent * len(prints[i] | prints[j]))
+    rows = near_duplicates(df, percent).collect()
+    assert len(rows) == len(ids) + 1
+    got = {r["doc_id"]: (r["n_signatures"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is not None}
+    assert got == {d: (len(x), want[d], want[d] == d) for d, x in zip(ids, prints, strict=True)}
+    assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)]
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    from cellweave.llm import minhash, spotsigs
+
+    rng = random.Random(9)
+    a, b = ([f"w{rng.randrange(500)}" for _ in range(200)] for _ in range(2))
+    near = lambda w, k: " ".join(w[:k] + ["odd"] + w[k + 1 :])
+    rows = [(1, near(a, 3)), (1, near(b, 3)), *((10 + k, near(a, 20 + k)) for k in range(5)), *((20 + k, near(b, 20 + k)) for k in range(5)), (30, "something else")]
+    extra = spark.createDataFrame([(*r, "x", "x", 1) for r in rows], "doc_id long, text string, digest string, code string, rep long")
+    for found in (minhash.near_duplicates(extra), spotsigs.near_duplicates(extra)):
+        assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(d, 30 if d == 30 else 1) for d, _ in rows}
+    assert spotsigs.near_duplicates(extra.limit(0)).collect() == []
 
 
 def test_pieces(spark, docs, plain):
@@ -435,9 +487,10 @@ def test_sets_do_not_depend_on_runs():
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 2, 400, 60_000]))).encode() for _ in range(90)]
     assert sum(map(len, texts)) > shingles.RUN
-    for got, want in zip(shingles.sets_in_runs(texts, 3), shingles.shingle_sets(texts, 3), strict=True):
+    three = lambda part: shingles.shingle_sets(part, 3)
+    for got, want in zip(shingles.in_runs(texts, three), shingles.shingle_sets(texts, 3), strict=True):
         assert np.array_equal(got, want)
-    assert [len(x) for x in shingles.sets_in_runs([], 3)] == [0, 1]
+    assert [len(x) for x in shingles.in_runs([], three)] == [0, 1]
 
 
 def test_repeated_rows_null_ids_and_extra_columns(spark):
