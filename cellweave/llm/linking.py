@@ -24,7 +24,7 @@ Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 #: A star of n members is cut into about sqrt(n / BLOCK) blocks; each text goes to twice as many tasks at most.
 BLOCK = 64
 #: Cells of the dense matrices that a comparison of blocks holds at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Keys that may hold a large share of the rows are joined in so many parts.
 SALT = 64
 
@@ -89,8 +89,9 @@ def cross(rows: DataFrame, sets: Sets, percent: int) -> DataFrame:
         of, column = np.repeat(np.arange(n), size)[kept], place[column][kept]
         by_column = np.argsort(column, kind="stable")
         of, column = of[by_column], column[by_column]
-        width = max(64, CELLS // n)
-        cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
+        total = int(shared.sum())
+        width = max(64, min(total, CELLS // n))
+        cuts = np.searchsorted(column, np.arange(0, total + width, width))
 
         def common(rows: np.ndarray) -> np.ndarray:
             """Sizes of the intersections of some rows with all."""
