@@ -60,10 +60,11 @@ class ChunkEncoder:
         self.held += sum(map(len, words))
         fresh, tailed = set(), []
         for w in words:
-            core = w.rstrip(TAIL)
             if (known := older.get(w)) is not None:
                 cache[w] = known
-            elif " " in w:
+                continue
+            core = w.rstrip(TAIL)
+            if " " in w:
                 cache[w] = self._ids(" " + w)
             elif core is not w and core and core[-1].isalnum():
                 tailed.append((w, core))
@@ -103,10 +104,12 @@ class ChunkEncoder:
         head = self._ids(words[0]) if words[0] else b""
         del words[0]
         found = list(map(self.cache.get, words))
-        if None in found:
-            self._learn({w for w, known in zip(words, found, strict=True) if known is None})
+        missing = [k for k, known in enumerate(found) if known is None]
+        if missing:
+            self._learn({words[k] for k in missing})
             cache = self.cache
-            found = [cache[w] if known is None else known for w, known in zip(words, found, strict=True)]
+            for k in missing:
+                found[k] = cache[words[k]]
         return head + b"".join(found)
 
 
