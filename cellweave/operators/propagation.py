@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cellweave.operators import connectivity as C
 from cellweave.operators import graph as G
 from cellweave.operators import liftings as S
+from cellweave.operators import pairs as P
+from cellweave.operators import blocks as K
 from cellweave.operators import linalg as L
 
 
@@ -42,6 +44,12 @@ def signal_down(incidences: list[DataFrame], x: DataFrame) -> DataFrame:
     return x
 
 
+def signal_down_simplices(cells: DataFrame, rank: int) -> DataFrame:
+    """:func:`signal_down` of ``cells(g, rank, verts, x)`` from rank ``rank`` of a simplicial complex: a cell reaches each of its vertices along rank! chains of faces."""
+    top = cells.where(F.col("rank") == rank).select("g", F.explode("verts").alias("id"), "x")
+    return top.groupBy("g", "id").agg((F.sum("x") * math.factorial(rank)).alias("x"))
+
+
 def routed_messages(operators: dict[str, DataFrame], features: dict[int, DataFrame], routes: dict[str, tuple[int, int]], activation: str = "relu") -> dict[int, DataFrame]:
     """One layer of neighbourhood messages: sums over the routes into each rank; untouched ranks pass through."""
     act = {"relu": lambda c: F.greatest(c, F.lit(0.0)), "id": lambda c: c, "tanh": F.tanh, "sigmoid": lambda c: 1 / (1 + F.exp(-c)), "elu": lambda c: F.when(c > 0, c).otherwise(F.expm1(c))}[activation]
@@ -115,6 +123,13 @@ def sampled_edges(points: DataFrame, k: int = 5, temperature: float = 4.0, seed:
     """(g, a, b, logprob): Gumbel top-k over squared distances times exp(temperature), drawn by hash; dense per graph, as all pairs are scored."""
     logit = F.col("d") * F.col("d") * float(math.exp(max(-5.0, min(5.0, temperature))))
     noise = F.pmod(F.xxhash64(F.lit(seed), "g", "a", "b"), F.lit(1 << 30)) / float(1 << 30) + 1e-8
+    if metric == "euclidean" and K.integral(points, "g") and points.schema["v"].dataType.simpleString() == "bigint":
+        # xxhash64 of several columns goes on from the hash of those before: that of b is taken in the task.
+        start = points.withColumn("h", F.xxhash64(F.lit(seed), "g", "v"))
+        scale = float(math.exp(max(-5.0, min(5.0, temperature))))
+        found = P.by_pairs(start, lambda a, x, b, y, h: P.sampled(a, x, b, y, h, k, scale), "a long, b long, logit double, s double", extra="h")
+        order = Window.partitionBy("g", "a").orderBy("s", "b")
+        return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("g", "a", "b", (-F.col("logit")).alias("logprob"))
     scored = S.pair_distances(points, metric).select("g", "a", "b", logit.alias("logit"), (logit - F.log(-F.log(noise))).alias("s"))
     order = Window.partitionBy("g", "a").orderBy("s", "b")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("g", "a", "b", (-F.col("logit")).alias("logprob"))
