@@ -56,16 +56,17 @@ def _settle(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every endpoint of ``edges``; component is the smallest reachable node.
 
-    Each round maps a node to the least node of its closed neighbourhood and contracts the edges
-    along that map, so stars vanish in one round and every component at least halves. Hubs only
-    meet partial ``min`` aggregates and joins whose large side adaptive execution can split.
+    Each round maps a node to the one of its closed neighbourhood that comes first in an order drawn
+    anew for the round, and contracts the edges along that map. So stars vanish, and a path shrinks by
+    a share in each round whatever its ids are (by ids, a path of ascending ids would only move along).
+    Hubs only meet partial ``min`` aggregates and joins whose large side adaptive execution can split.
     Null endpoints and self-loops link nothing; repeated edges count once; no edges: no rows.
     """
     left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     left = materialise(left, "cc-edges")
     labels = None
     plain = _ordered(left.schema["a"].dataType) and left.schema["a"].dataType.simpleString() == left.schema["b"].dataType.simpleString()
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         n = left.count()
         if not n:
             break
@@ -76,8 +77,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = near
             break
         both = left.union(left.select("b", "a").toDF("a", "b"))
-        near = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("m")), "cc-near")
-        # The map may chain (v -> m(v) -> m(m(v))); one jump halves the chain and keeps ids decreasing.
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("m"))  # noqa: B023, E731
+        near = both.groupBy(F.col("a").alias("v")).agg(F.min(drawn("b")).alias("first"))
+        near = materialise(near.select("v", F.least("first", drawn("v"))["m"].alias("m")), "cc-near")
+        # The map may chain (v -> m(v) -> m(m(v))); one jump shortens the chain.
         jump = near.join(near.select(F.col("v").alias("m"), F.col("m").alias("mm")), "m", "left").select("v", F.coalesce("mm", "m").alias("m"))
         first, near = near, materialise(jump, "cc-map")
         release(first)
@@ -98,4 +101,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         raise RuntimeError("components did not settle")
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels.select(F.col("v").alias("node"), F.col("m").alias("component"))
+    # Names of contracted nodes are drawn ones: a component takes its least node's.
+    least = materialise(labels.groupBy("m").agg(F.min("v").alias("component")), "cc-least")
+    return labels.join(least, "m").select(F.col("v").alias("node"), "component")
