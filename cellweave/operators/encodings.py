@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators import blocks as K
 from cellweave.operators import connectivity as C
 from cellweave.operators import graph as G
 from cellweave.operators import linalg as L
 
 
-def random_walk(edges: DataFrame, steps: int) -> DataFrame:
-    """(g, k, v, p): return probabilities after 2 .. ``steps`` steps of the uniform walk, where positive."""
+def random_walk(edges: DataFrame, steps: int, lists: DataFrame | None = None) -> DataFrame:
+    """(g, k, v, p): return probabilities after 2 .. ``steps`` steps of the uniform walk, where positive; up to three steps inside blocks of vertices, from packed ``lists`` where those are given."""
+    if steps <= 3 and (lists is not None or K.integral(edges, "g", "u", "v")):
+        return K.returns(K.lists_of_edges(edges) if lists is None else lists, steps)
     both = G.to_undirected(edges)
     d = both.groupBy("g", "src").agg(F.count(F.lit(1)).alias("d"))
     step = both.join(d, ["g", "src"]).select("g", F.col("src").alias("row"), F.col("dst").alias("col"), (1 / F.col("d")).alias("val"))
