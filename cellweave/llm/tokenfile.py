@@ -119,8 +119,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(vocab).encode
-        rows = ((d, t.as_py()) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        part, encode_all = TaskContext.get().partitionId(), encoder(vocab).encode_all
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), encode_all(b.column(1)), strict=True))
         first = next(rows, None)
         if first is None:
             return
@@ -129,8 +129,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
         with system.open_output_stream(f"{top}/{name}", compression=None) as sink:
             writer = TokenFileWriter(sink, level)
-            for doc_id, text in itertools.chain([first], rows):
-                writer.add(doc_id, encode(text) + end)
+            for doc_id, ids in itertools.chain([first], rows):
+                writer.add(doc_id, b"".join((ids, end)))
             writer.finish()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.ids]})
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -19,7 +22,10 @@ SPACE_BYTE = "Ġ"
 #: After a letter or digit, a run of these at a chunk's end is always a pre-token of its own.
 TAIL = ".,;:!?%$#&*)"
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts of a column are split and looked up together up to so many bytes.
+BLOCK = 8 << 20
+
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _run = re.compile(f" [{_SPACE}]")
 _cut = re.compile(f" (?=[^{_SPACE}])")
 _made: dict = {}
@@ -103,6 +109,10 @@ class ChunkEncoder:
         words = _cut.split(text) if _run.search(text) else text.split(" ")
         head = self._ids(words[0]) if words[0] else b""
         del words[0]
+        return head + b"".join(self._known(words))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word for each word."""
         found = list(map(self.cache.get, words))
         missing = [k for k, known in enumerate(found) if known is None]
         if missing:
@@ -110,7 +120,37 @@ class ChunkEncoder:
             cache = self.cache
             for k in missing:
                 found[k] = cache[words[k]]
-        return head + b"".join(found)
+        return found
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """What :meth:`encode` gives for each text; a word that recurs in a block of texts is looked up once for all of them."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+            yield from self._block(texts.slice(at, last - at))
+            at = last
+
+    def _block(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        runs = pc.match_substring_regex(texts, _run.pattern)
+        odd = runs.to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(runs, "", texts), " ")
+        starts, flat = split.offsets.to_numpy(), split.flatten()
+        inner = np.ones(len(flat), dtype=bool)
+        inner[starts[:-1]] = False
+        words, heads = flat.filter(pa.array(inner)).dictionary_encode(), flat.take(pa.array(starts[:-1])).dictionary_encode()
+        codes = np.empty(len(flat), dtype=np.int32)
+        codes[inner] = words.indices.to_numpy()
+        codes[~inner] = heads.indices.to_numpy() + len(words.dictionary)
+        firsts = self.tokenizer.encode_batch_fast(heads.dictionary.to_pylist(), add_special_tokens=False)
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist()) + [np.array(e.ids, dtype="<u4").tobytes() for e in firsts]
+        ids = pa.array(known, pa.large_binary()).take(pa.array(codes))
+        _, begins, data = ids.buffers()
+        bounds = np.frombuffer(begins, dtype=np.int64)[starts].tolist()
+        raw = memoryview(data or b"")
+        for k in range(len(texts)):
+            yield self.encode(texts[k].as_py()) if odd[k] else raw[bounds[k] : bounds[k + 1]]
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:

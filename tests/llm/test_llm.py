@@ -100,6 +100,41 @@ def test_token_files(spark, docs, plain, bpe, tmp_path):
         list(read_file(path))
 
 
+def test_columns_are_encoded_in_blocks(bpe, monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from cellweave.llm import tokens
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = tokens.ChunkEncoder(f.read())
+    library, calls = enc.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append(1)
+            return library.encode_batch_fast(*args, **kwargs)
+
+    rng = random.Random(7)
+    enc.tokenizer = Counting()
+    texts = [" ".join(f"{rng.choice('ABC')}{rng.choice('xyz')}{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(500)]
+    want = [np.array(bpe(t), dtype="<u4").tobytes() for t in texts]
+    assert [bytes(x) for x in enc.encode_all(pa.array(texts))] == want
+    assert len(calls) < 10  # one by one, each text would need two calls
+    enc.tokenizer = library
+
+    parts = ["the", "The", "x.", ",", "é", "日本", "😀", "  ", "\n", "\t", "\x85", "\u2003", "\x1c", "\0", "'s", "3.5!?", "<|endoftext|>", "Ġ", "a)"]
+    texts = [*EDGE, " ", "  ", " a", "a ", "a  b", " \n a", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 30))) for _ in range(600))]
+    want = [np.array(bpe(t), dtype="<u4").tobytes() for t in texts]
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    for block in (1, 300, 8 << 20):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        for kind in (pa.string(), pa.large_string()):
+            assert [bytes(x) for x in enc.encode_all(pa.array(texts, kind))] == want
+    assert [bytes(x) for x in enc.encode_all(pa.array(texts).slice(5, 100))] == want[5:105]
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
